@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interleave, mixing, packing, sharding, simhash, topk, warc
+from . import interleave, langid, mixing, packing, sharding, simhash, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select(*names, F.col("pos").alias("position"), "caption")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_interleave": op3_interleave,
+    "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op7_sharding": op7_sharding,
     "op9_topk": op9_topk,
