@@ -14,9 +14,7 @@ as rows of their own; an empty table gives no pieces; other columns do not matte
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -31,12 +29,9 @@ from .scratch import materialise
 CAPACITY = 4096
 END = 1
 #: Words kept with their ids by each worker; the memory bound of the cache.
-CACHE = 400_000
-#: Longer words are tokenized each time.
+CACHE = 600_000
+#: Longer words, in bytes, are tokenized each time.
 LONG = 200
-#: White space to str.split() but not to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @lru_cache(maxsize=2)
@@ -49,35 +44,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[bytes, bytes]:
+    """Ids of words met by this worker; kept over its tasks."""
+    return {}
+
+
 class WordIds:
     """Ids of a text, as little-endian 32-bit bytes, from the ids of its blank-separated words.
 
     The tokenizer's own pre-tokenization never joins characters across white space, so a text's
-    ids are its words' ids in order.
+    ids are its words' ids in order; A-Z are lower-cased before, as the tokenizer does.
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.known = path, _known(path)
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        got = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = _tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            text = text or ""
-            words = WORD.findall(text) if ODD.search(text) else text.split()
-            known = self.known
-            missing = list({w for w in words if w not in known})
-            if missing:
-                if len(known) + len(missing) > CACHE:
-                    known.clear()
-                    missing = list(set(words))
-                known.update(self.learn(missing))
-            yield b"".join(map(known.__getitem__, words)) + END.to_bytes(4, "little")
-            for word in missing:
-                if len(word) > LONG:
-                    del known[word]
+    def encode(self, text: bytes) -> bytes:
+        words, known = text.lower().split(), self.known  # of bytes: A-Z and the six ASCII blanks
+        missing = {w for w in words if w not in known}
+        if missing:
+            new = self.learn(list(missing))
+            if len(known) < CACHE:  # the first words met are the frequent ones; they stay
+                known.update((w, ids) for w, ids in new.items() if len(w) <= LONG)
+            ids = [new[w] if w in new else known[w] for w in words]
+        else:
+            ids = map(known.__getitem__, words)
+        return b"".join(ids) + END.to_bytes(4, "little")
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -90,14 +87,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         ids = WordIds(tokenizer)
         for batch in batches:
             out = [], [], [], [], []
-            for doc, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist())):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = ids.encode(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, crc32(part))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, PIECES.types)], schema=PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Gaps:
