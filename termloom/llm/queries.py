@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interleave, langid, mixing, packing, sharding, simhash, topk, warc
+from . import interleave, langid, lempelziv, mixing, packing, runlength, sharding, simhash, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,11 +72,19 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength.deduplicate(_read(spark, sf_dir, "documents"), window=200)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempelziv.deduplicate(_read(spark, sf_dir, "documents"), window=35)
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -108,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_interleave": op3_interleave,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
+    "op6_suffix": op6_suffix,
     "op7_sharding": op7_sharding,
+    "op8_substring": op8_substring,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }

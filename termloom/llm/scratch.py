@@ -42,7 +42,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     and values that depend on the partitioning keep what was written.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd's buffers outside the heap outlive many small files
     return spark.read.schema(df.schema).parquet(path)
 
 
