@@ -7,10 +7,12 @@ The folder is the one named in ``spark.checkpoint.dir``.  Only where that is uns
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -54,3 +56,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _resolved(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if re.match(r"\w+:", path) else "file://" + path)
+
+
+def open_file(path: str) -> FileSystem:
+    """The file system of a path in the shared folder, for tasks that write files of their own."""
+    return _resolved(path)[0]
+
+
+def file_path(path: str) -> str:
+    """The path as its file system names it."""
+    return _resolved(path)[1]
