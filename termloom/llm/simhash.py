@@ -1,12 +1,17 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Every document gets a 64-bit fingerprint of its word shingles.  Distinct fingerprints are dealt
-into tiles by the population counts of their parts: as the counts' differences add up to no more
-than the number of differing bits, tile pairs whose counts differ beyond the radius hold no link
-and are never formed.  The other pairs are compared exactly with numpy's exclusive-or and bit
-counts, in blocks; each pair returns a spanning forest of its links, and connected components
-join them.  Copies share a fingerprint and count once; tiles are split by their known size, so a
-hot tile is many tiles.
+into tiles by population counts; as counts differ by no more than the number of differing bits,
+tile pairs whose counts differ beyond the radius hold no link and are never formed.  The other
+pairs are compared exactly with numpy's exclusive-or and bit counts, in blocks; each pair returns
+a spanning forest of its links, and connected components join them.  Copies share a fingerprint
+and count once; tiles are split by their size, so a hot count is many tiles.
+
+Narrow radii (up to 5 bits) tile by the counts of several parts of the fingerprint, whose
+differences add up.  Wide radii, which a similarity of 0.8 needs, use one count and confirm
+links by a second fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files that the
+comparing tasks open, so only names are shuffled.  The comparisons of a wide radius grow with
+the square of the distinct fingerprints, at about two nanoseconds each.
 
 Edge cases: a null text or one without words has fingerprint zero and is linked like any other;
 repeated rows are rows of their own; an empty table gives an empty result; other columns do not
@@ -15,6 +20,9 @@ matter; null doc_ids never name a component unless it has no other.
 
 from __future__ import annotations
 
+import math
+import uuid
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -24,50 +32,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .ordering import positions
+from .scratch import file_path, folder, materialise, open_file, partitions
 
 SEED = 42
 #: Fingerprints in a tile, about.
 TILE = 1 << 14
+#: Fingerprints in a tile that is a file.
+FILE = 1 << 16
+#: Further 64-bit words of a wide fingerprint, and pairs confirmed at once.
+EXTRA, CONFIRM = 8, 1 << 16
 #: Elements of a comparison held at once.
 BLOCK = 1 << 20
 #: Byte k of entry b is bit 7 - k of b: eight counters in a word.
 SPREAD = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit SimHash; a bit is set if it is set in over half of the shingles' hashes."""
+def _octets(text: bytes, shingle: int) -> np.ndarray | None:
+    """The shingles' XXH64, as rows of eight octets from the highest."""
     words = text.lower().split()  # of bytes: A-Z alone, and the six ASCII blanks
     if not words:
-        return 0
+        return None
     if len(words) < shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_digest
-    octets = np.frombuffer(b"".join([digest(p, SEED) for p in parts]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(p, SEED) for p in parts]), np.uint8).reshape(-1, 8)
+
+
+def _majority(octets: np.ndarray) -> bytes:
+    """Bits that are set in over half of the rows."""
     n = len(octets)
     if n <= 255:
-        sums = SPREAD[octets].sum(axis=0, dtype=np.uint64).view(np.uint8)
+        sums = SPREAD[octets].sum(axis=0, dtype=np.uint64).view(np.uint8).astype(np.int64)
     else:
         sums = sum(SPREAD[octets[i : i + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8).astype(np.int64) for i in range(0, n, 255))
-    return int.from_bytes(np.packbits(sums.astype(np.int64) * 2 > n).tobytes(), "big")
+    return np.packbits(sums * 2 > n).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The 64-bit SimHash; a bit is set if it is set in over half of the shingles' hashes."""
+    octets = _octets(text, shingle)
+    return 0 if octets is None else int.from_bytes(_majority(octets), "big")
+
 
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, bytes]:
+    """The 64-bit SimHash and EXTRA further words from hashes of the shingles' hashes."""
+    octets = _octets(text, shingle)
+    if octets is None:
+        return 0, bytes(8 * EXTRA)
+    h, wide = octets.view(">u8").astype(np.uint64).ravel(), []
+    for k in range(EXTRA):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        wide.append(_majority((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8)))
+    return int.from_bytes(_majority(octets), "big"), b"".join(wide)
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+
+def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame:
+    """(doc_id, fp), fp as a signed long; with ``wide`` also the further words."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+            if wide:
+                fps, rest = zip(*[wide_fingerprint(t, shingle) for t in texts]) if texts else ([], [])
+            else:
+                fps, rest = [fingerprint(t, shingle) for t in texts], None
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))] + ([pa.array(rest, pa.binary())] if wide else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide"][: len(columns)])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", wide binary" * wide)
 
 
 def _parts(radius: int) -> int:
-    """Parts of the fingerprint whose counts make the tile; fewer for wide radii, which have more neighbours."""
-    return 4 if radius <= 2 else 2 if radius <= 5 else 1
+    """Parts of the fingerprint whose counts make the tile; fewer for larger radii, which have more neighbours."""
+    return 4 if radius <= 2 else 2
 
 
 def _tile_keys(fp: Column, parts: int) -> Column:
@@ -86,40 +127,62 @@ def _neighbours(parts: int, radius: int) -> list[int]:
     return [sum(x * 100 ** (parts - 1 - i) for i, x in enumerate(d)) for d in steps]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with at most ``radius`` differing bits between a[i] and b[j]."""
-    rows, left, right = max(1, BLOCK // max(1, len(b))), [], []
+class Forest:
+    """Components of the links met so far between the members of a tile pair."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            least = np.minimum(a, b)
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            while not np.array_equal(label, label[label]):
+                label[:] = label[label]
+
+
+def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (member, smaller member) of the pairs with at most ``radius`` differing bits.
+
+    Members are numbered through a and then b, or through a alone if ``same``, which compares
+    each pair of a once.  ``confirm(i, j)`` may reject pairs; pairs already joined are not asked.
+    """
+    shift = 0 if same else len(a)
+    forest, rows = Forest(shift + len(b)), max(1, BLOCK // max(1, len(b)))
     for at in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius)
-        left.append(i + at)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For links a[k] - b[k]: (node, smallest node reachable), nodes that are their own smallest left out."""
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = index[: len(a)], index[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+        start = at if same else 0
+        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, start:]) <= radius)
+        i, j = i + at, j + start
+        new = forest.label[i] != forest.label[j + shift]
+        i, j = i[new], j[new]
+        while len(i):
+            if confirm is not None:  # the first pairs may join the rest
+                part = slice(0, CONFIRM)
+                good = confirm(i[part], j[part])
+                forest.add(i[part][good], j[part][good] + shift)
+                i, j = i[CONFIRM:], j[CONFIRM:]
+                new = forest.label[i] != forest.label[j + shift]
+                i, j = i[new], j[new]
+            else:
+                forest.add(i, j + shift)
+                break
+    moved = np.flatnonzero(forest.label != np.arange(len(forest.label)))
+    return moved, forest.label[moved]
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) of the distinct long column ``fp``: a spanning forest of each tile pair."""
-    spark, parts = fps.sparkSession, _parts(radius)
+    """Links (a, b) of the distinct long column ``fp`` within a narrow radius: a forest of each tile pair."""
+    parts = _parts(radius)
     keyed = fps.select("fp", _tile_keys(F.col("fp"), parts).alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
-    # a row per population count: at most 17^4, 33^2 or 65 whatever the input
+    # a row per combination of counts: at most 17^4 or 33^2 whatever the input
     keyed = keyed.join(F.broadcast(sizes), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     tiles = materialise(keyed.groupBy("key", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
     near = tiles.select("key", "chunk", F.col("fps").alias("left"), F.explode(F.array(*[F.lit(d) for d in _neighbours(parts, radius)])).alias("step"))
@@ -132,10 +195,10 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             found = []
             for left, right in zip(batch.column(0), batch.column(1)):
                 a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
-                i, j = compare(a, b, radius)
-                u, v = a[i].view(np.int64), b[j].view(np.int64)
-                if (u != v).any():
-                    found.append(forest(u[u != v], v[u != v]))
+                u, v = compare(a, b, radius)
+                if len(u):
+                    both = np.concatenate([a, b]).view(np.int64)
+                    found.append((both[u], both[v]))
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
@@ -143,16 +206,101 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable by links."""
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes, radius))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("wide", "<u8", (EXTRA,))])
+
+
+@lru_cache(maxsize=4)
+def _tile(path: str) -> np.ndarray:
+    with open_file(path).open_input_stream(file_path(path), compression=None) as file:
+        return np.frombuffer(file.read(), RECORD)
+
+
+def wide_links(classes: DataFrame, radius: int, wide_radius: int) -> DataFrame:
+    """Links (a, b) of the column ``node`` of (fp, wide, node), confirmed by the further words."""
+    spark, home = classes.sparkSession, folder(classes.sparkSession, "tiles")
+    order = [F.bit_count("fp"), F.col("fp"), F.col("node")]
+    n = max(1, min(partitions(spark), -(-classes.count() // FILE)))
+    cut = classes.select("fp", "node", "wide").repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def write(batches):
+        held, fs = [], open_file(home)
+        fs.create_dir(file_path(home))
+
+        def flush(rows):
+            path = f"{home}/{uuid.uuid4().hex}.tile"
+            with fs.open_output_stream(file_path(path), compression=None) as out:
+                out.write(rows.tobytes())
+            counts = np.bitwise_count(rows["fp"])
+            columns = [[path], [int(counts.min())], [int(counts.max())]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))], names=["path", "low", "high"])
+
+        for batch in batches:
+            rows = np.empty(batch.num_rows, RECORD)
+            rows["fp"], rows["node"] = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            rows["wide"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, EXTRA)
+            held.append(rows)
+            while sum(map(len, held)) >= FILE:
+                rows = np.concatenate(held)
+                yield flush(rows[:FILE])
+                held = [rows[FILE:]]
+        if sum(map(len, held)):
+            yield flush(np.concatenate(held))
+
+    tiles = materialise(cut.mapInArrow(write, "path string, low int, high int"), "tile-names")
+    tiles = materialise(positions(tiles, [F.col("low"), F.col("high"), F.col("path")], tag="tile-order"), "tile-places")
+    last = tiles.count() - 1
+    pairs = tiles.select(F.col("path").alias("left"), F.col("pos").alias("first"), "high", F.explode(F.sequence("pos", F.lit(last).cast("long"))).alias("pos"))
+    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right"), "low"), "pos").where(F.col("low") <= F.col("high") + radius)
+    spread = pairs.select("left", "right").repartition(max(1, min(4 * partitions(spark), (last + 1) * (last + 2) // 2)))
+
+    def run(batches):
+        for batch in batches:
+            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = _tile(left), _tile(right)
+                near = lambda i, j, a=a["wide"], b=b["wide"]: np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= wide_radius
+                u, v = compare(np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"]), radius, near, left == right)
+                if len(u):
+                    nodes = a["node"] if left == right else np.concatenate([a["node"], b["node"]])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["a", "b"])
+
+    return spread.mapInArrow(run, "a long, b long")
+
+
+def radii(similarity: float) -> tuple[int, int]:
+    """Differing bits allowed of 64 and of 64 * EXTRA for a Jaccard similarity of the shingles.
+
+    Equal weights make a cosine of 2s / (1 + s), and a bit differs with probability angle / pi.
+    The first radius adds 1.5 standard deviations, as it only chooses what the second confirms;
+    the second adds one, so that few links at the similarity itself are missed.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    reach = lambda bits, deviations: round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+    return reach(64, 1.5), reach(64 * EXTRA, 1.0)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable by links.
+
+    With ``radius`` links are fingerprints that differ in that many bits or fewer; else they are
+    fingerprints whose estimated similarity is ``similarity`` or more.
+    """
+    wide = radius is None or radius > 5
+    prints = materialise(fingerprints(docs, shingle, wide), "fingerprints")
+    if wide:
+        near, far = radii(similarity) if radius is None else (radius, 64 * EXTRA)
+        prints = prints.withColumn("node", F.xxhash64("fp", "wide"))
+        classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("wide").alias("wide")), "classes")
+        found = wide_links(classes, near, far)
+    else:
+        prints = prints.withColumn("node", F.col("fp"))
+        classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "classes")
+        found = links(classes, radius)
+    roots = components(found).withColumnRenamed("node", "linked")
+    grouped = classes.join(roots, classes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     grouped = materialise(grouped, "roots")
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(named, "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
