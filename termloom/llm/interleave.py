@@ -205,7 +205,8 @@ def describe(stored: DataFrame) -> DataFrame:
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     found = stored.where("media is not null").select("digest", "media").mapInArrow(lambda b: _emit(rows(b), DESCRIBED), schema)
     rest = [c for c in found.columns if c != "digest"]
-    return found.groupBy("digest").agg(F.min(F.struct(*rest)).alias("d")).select("digest", "d.*")  # copies are equal
+    # copies are equal; written, so that the join that follows may split a hot digest
+    return materialise(found.groupBy("digest").agg(F.min(F.struct(*rest)).alias("d")).select("digest", "d.*"), "described")
 
 
 def resolve(parsed: DataFrame, known: DataFrame) -> DataFrame:
