@@ -95,7 +95,7 @@ def metaphone_keys(spark, d):
 
 
 # Devanagari words and the keys they must have.
-DEVANAGARI = (("आदित्य", "aditia"), ("कृष्ण", "krisna"), ("सर्विस", "sarvis"), ("नमस्ते", "namaste"), ("कमल", "kamal"), ("राम", "ram"))
+DEVANAGARI = (("सत्य", "satia"), ("कृष्ण", "krisna"), ("सर्विस", "sarvis"), ("नमस्ते", "namaste"), ("कमल", "kamal"), ("राम", "ram"))
 
 
 def devanagari_keys(spark, d):

@@ -115,7 +115,7 @@ SELECT (SELECT count(*) FROM lowered) AS words, (SELECT count(*) FROM s) AS stri
 {strict_ctes("w", "word", "k")}
 SELECT a.word AS a, b.word AS b, round_even(CAST(CAST(0.75::DOUBLE * jaro_winkler_similarity(a.strict, b.strict) + 0.25::DOUBLE * jaro_winkler_similarity(a.plain, b.plain) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS similarity
 FROM k a JOIN k b ON a.loose = b.loose AND a.word < b.word WHERE a.loose <> ''""",
-    "devanagari_keys": "SELECT * FROM (VALUES ('आदित्य', 'aditia'), ('कृष्ण', 'krisna'), ('सर्विस', 'sarvis'), ('नमस्ते', 'namaste'), ('कमल', 'kamal'), ('राम', 'ram')) v(word, strict)",
+    "devanagari_keys": "SELECT * FROM (VALUES ('सत्य', 'satia'), ('कृष्ण', 'krisna'), ('सर्विस', 'sarvis'), ('नमस्ते', 'namaste'), ('कमल', 'kamal'), ('राम', 'ram')) v(word, strict)",
     "tokenize_offsets": f'WITH {_TOKENS} SELECT utt_id, pos, start, "end", stem, suffix FROM tokens',
     "ngram_spans": f'WITH {_TOKENS}, {_NGRAMS} SELECT utt_id, n, first, start, "end", stem FROM grams',
     "protected_spans": f"""WITH f AS ({_found(_URL)} UNION ALL {_found(_DOMAIN)})
