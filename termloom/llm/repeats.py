@@ -230,17 +230,29 @@ def merged(doc, crc, start, end):
     return doc[head], crc[head], start[head], reach[last]
 
 
+FETCHED = "anchor long, need boolean, doc_id long, crc long, start long, windows long, units binary, places binary"
+
+
 def _fetch(sources: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """Texts of contexts and window hashes of hot ones: (anchor, need, doc_id, crc, start, windows, units).
+    """FETCHED rows: the texts of contexts, by anchor, and the windows of hot ones, by hash, with their places.
 
-    ``wanted`` has the contexts of each document; rows without units are single windows.
+    ``wanted`` has the contexts of each document.  Equal windows of a batch travel as one row.
     """
     per = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("anchor", "start", "windows", "need", "hot")).alias("wanted"))
     # equal rows are fetched each; their contexts are repeated anyway, so that adds no match
     joined = sources.join(per.hint("shuffle_hash"), ["doc_id", "crc"])
     window = units.window
-    names = ["anchor", "need", "doc_id", "crc", "start", "windows", "units"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in FETCHED.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def batch_of(**columns) -> pa.RecordBatch:
+        n = len(columns["anchor"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names=names)
+
+    def hot_windows(held: list[tuple]) -> pa.RecordBatch:
+        content, doc, crc, start = (np.concatenate(x) for x in zip(*held))
+        packed = _context_rows(content, content, doc, crc, start, np.ones(len(start), np.int64))
+        return batch_of(anchor=packed.column("anchor"), places=packed.column("places"))
 
     def run(batches):
         for batch in batches:
@@ -249,26 +261,31 @@ def _fetch(sources: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
             bounds, inner = lists.offsets.to_numpy(), lists.flatten()
             anchor, start, windows, need, hot = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             bounds = bounds - bounds[0]
-            texts, out, held = _texts(batch), [[] for _ in names], 0
-            for i, text in enumerate(texts):
-                values, rolling = units.stored(text), None
-                for j in range(bounds[i], bounds[i + 1]):
+            rows, held, many = [], 0, []
+            for i, text in enumerate(_texts(batch)):
+                own = np.arange(bounds[i], bounds[i + 1])
+                heat = own[hot[own]]
+                if len(heat):
+                    at = ranges(start[heat].astype(np.int64), windows[heat].astype(np.int64))
+                    content = Rolling(units.hashed([text])[0]).of(at, at + window).view(np.int64)
+                    many.append((content, np.full(len(at), doc[i]), np.full(len(at), crc[i]), at))
+                values = units.stored(text) if len(heat) < len(own) else None
+                for j in own[~hot[own]].tolist():
                     s, n = int(start[j]), int(windows[j])
-                    if hot[j]:
-                        rolling = rolling or Rolling(units.hashed([text])[0])
-                        at = np.arange(s, s + n)
-                        rows = [rolling.of(at, at + window).view(np.int64), [True] * n, [doc[i]] * n, [crc[i]] * n, at, [1] * n, [None] * n]
-                    else:
-                        rows = [[anchor[j]], [need[j]], [doc[i]], [crc[i]], [s], [n], [values[s : s + n + window - 1].tobytes()]]
-                        held += len(rows[-1][0])
-                    for column, new in zip(out, rows):
-                        column.extend(new)
-                if held > 8 << 20 or len(out[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                    out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-
-    return joined.mapInArrow(run, "anchor long, need boolean, doc_id long, crc long, start long, windows long, units binary")
+                    rows.append((anchor[j], need[j], doc[i], crc[i], s, n, values[s : s + n + window - 1].tobytes()))
+                    held += len(rows[-1][-1])
+                if held > 8 << 20:
+                    yield batch_of(**dict(zip(names, zip(*rows))))
+                    rows, held = [], 0
+                if sum(len(m[0]) for m in many) > 200_000:
+                    yield hot_windows(many)
+                    many = []
+            if rows:
+                yield batch_of(**dict(zip(names, zip(*rows))))
+            if many:
+                yield hot_windows(many)
+
+    return joined.mapInArrow(run, FETCHED)
 
 
 def _compared(texts: DataFrame, units: Units) -> DataFrame:
@@ -288,7 +305,7 @@ def _compared(texts: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if held > BLOCK and row[0] != rows[-1][0]:
                     if (got := block(rows)) is not None:
                         yield got
@@ -306,7 +323,6 @@ def repeated(docs: DataFrame, units: Units) -> DataFrame:
     sources = _sources(docs)
     known = _counted(contexts(sources, units))
     known = materialise(known.select("anchor", "places", "same", "leader", "total", "contents"), "contexts")
-    sure = _unpacked(known.where("same > 1"), units.window)
     rows = known.where("total > same and leader")
 
     def first(batches):
@@ -319,10 +335,9 @@ def repeated(docs: DataFrame, units: Units) -> DataFrame:
     wanted = rows.mapInArrow(first, "anchor long, doc_id long, crc long, start long, windows long, need boolean, hot boolean")
     fetched = materialise(_fetch(sources, wanted, units), "fetched")
     compared = _compared(fetched.where("units is not null"), units)
-    single = fetched.where("units is null").select("anchor", "doc_id", "crc", "start")
-    twice = single.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    counted = single.join(twice, "anchor").select("doc_id", "crc", "start", (F.col("start") + units.window).alias("end"))
-    return sure.unionByName(compared).unionByName(counted)
+    hot = _counted(fetched.where("places is not null").select("anchor", F.col("anchor").alias("content"), "places"))
+    sure = known.where("same > 1").select("places").unionByName(hot.select("places"))
+    return _unpacked(sure, units.window).unionByName(compared)
 
 
 def marked(docs: DataFrame, marks: DataFrame, apply: Callable[[bytes, np.ndarray, np.ndarray], tuple], schema: str, fields: list[tuple[str, pa.DataType]], keep: list[Column] = ()) -> DataFrame:
