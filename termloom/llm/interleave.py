@@ -101,6 +101,9 @@ def sequence(html: str | None) -> list[dict]:
     parser.feed(html or "")
     parser.close()
     parser._break()
+    for tag, still in (("figcaption", parser.captions), ("figure", parser.figures)):  # left open
+        while still:
+            parser.handle_endtag(tag)
     return [{"pos": i, **x, "kind": "text" if x["kind"] == "caption" else x["kind"]} for i, x in enumerate(parser.items)]
 
 

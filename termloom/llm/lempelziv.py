@@ -67,7 +67,7 @@ def repeated_starts(parts: list[np.ndarray], window: int) -> list[np.ndarray]:
     for start, end in zip(reference.block.starts.tolist(), reference.block.ends.tolist()):
         found = []
         for at, length in reference.factors(start, end):
-            inner = at + max(0, length - window + 1)  # windows that end within the factor
+            inner = at + max(0, int(reference.longest[at]) - window + 1)  # windows that end within the factor
             if inner > at:
                 found.append(np.arange(at, inner))
             crossing = np.flatnonzero(reference.longest[inner : at + length] >= window)

@@ -99,7 +99,7 @@ def test_words_beyond_the_cache(monkeypatch):
 def test_long_chains_in_pieces(monkeypatch):
     model = langid.fit([("en", ["the", "bird"]), ("de", ["der", "vogel"])] * 30)
     monkeypatch.setattr(langid, "CHAIN", 8)
-    got = langid.Labeller(model).posteriors([langid.Labeller(model).scored("the bird " * 20), langid.Labeller(model).scored("vogel")])
+    got = langid.Labeller(model).posteriors(langid.Labeller(model).scored(["the bird " * 20, "vogel"]))
     assert [len(g) for g in got] == [40, 1]
 
 
