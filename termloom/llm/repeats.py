@@ -157,15 +157,27 @@ def _sources(docs: DataFrame) -> DataFrame:
 
 
 def _context_rows(anchor, content, doc, crc, start, windows) -> pa.RecordBatch:
-    """Equal contexts of the batch as one row, their places together."""
+    """Equal contexts of the batch as one row with one place.
+
+    A context that the batch holds several times is repeated whatever else there is: its places go
+    in a row of their own under a key that no other has, so that they do not gather by anchor, and
+    the context's row has its first place twice, which counts as two.
+    """
     order = np.lexsort((content, anchor))
     anchor, content = anchor[order], content[order]
     place = np.empty(len(order), PLACE)
     place["doc"], place["crc"], place["start"], place["windows"] = doc[order], crc[order], start[order], windows[order]
     head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])) if len(order) else np.zeros(0, np.int64)
-    bounds = np.append(head, len(order)) * PLACE.itemsize
-    places = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(place.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(content[head]), places], names=["anchor", "content", "places"])
+    times = np.diff(np.append(head, len(order)))
+    many = times > 1
+    every, first = head[many], place[head[many]]
+    own = mixed(anchor[every].view(np.uint64) ^ mixed(content[every].view(np.uint64) + first["doc"].view(np.uint64) * np.uint64(BASE) + first["start"].view(np.uint64))).view(np.int64)
+    index = np.concatenate([np.repeat(head, np.minimum(times, 2)), ranges(every, times[many])])
+    lengths = np.concatenate([np.minimum(times, 2), times[many]]) * PLACE.itemsize
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(place[index].tobytes())])
+    columns = [np.concatenate([anchor[head], own]), np.concatenate([content[head], own])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), places], names=["anchor", "content", "places"])
 
 
 CONTEXTS = "anchor long, content long, places binary"
