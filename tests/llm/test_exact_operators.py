@@ -528,15 +528,26 @@ def test_plan_finds_complements():
     assert packing.plan({100: 1, 80: 1, 46: 1, 30: 1}, 256) == [((100, 80, 46, 30), 1)]
 
 
-def test_sql_of_queries(spark):
+@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op7_sharding", "op8_substring", "op9_topk"])
+def test_sql_of_queries(spark, name):
     from termloom.llm import queries
 
-    for name, sql in queries.SQL.items():
-        con = duckdb.connect()
-        for t in ("documents", "embeddings"):
-            con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
-        want = con.sql(sql).df()
-        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
-        columns = sorted(got.columns)
-        assert columns == sorted(want.columns)
-        assert sorted(map(repr, got[columns].values.tolist())) == sorted(map(repr, want[columns].values.tolist()))
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.sql(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    plain = lambda d: sorted(repr([None if x != x or x is None else x for x in row]) for row in d[columns].astype(object).where(d[columns].notna(), None).values.tolist())
+    assert plain(got) == plain(want)
+
+
+def test_native_plans(spark, capsys):
+    """Mixing and sharding stay in DataFrame functions."""
+    from termloom.llm import queries
+
+    for name in ("op5_mixing", "op7_sharding"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
