@@ -90,13 +90,23 @@ def folded(observations: DataFrame) -> DataFrame:
 
 
 def decision_compaction(path: str, keep: int):
-    """A foreachBatch function that appends a batch of decisions and prunes whole requests."""
+    """A foreachBatch function: the trace is version ``epoch`` under ``path``, pruned to whole requests.
+
+    A version is the one before with the batch's decisions, so a batch that is replayed writes its
+    version again; versions before the last two are removed.
+    """
     from termloom.operators.trace import compacted
 
+    def version(epoch: int) -> str:
+        return f"{path}/version={epoch}"
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        held = compacted(spark.read.parquet(path), keep)
-        held.write.mode("overwrite").parquet(f"{path}-kept")
+        store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = lambda e: store.exists(spark._jvm.org.apache.hadoop.fs.Path(version(e)))
+        rows = spark.read.parquet(version(epoch - 1)).unionByName(batch) if there(epoch - 1) else batch
+        compacted(rows, keep).write.mode("overwrite").parquet(version(epoch))
+        if there(epoch - 2):
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(version(epoch - 2)), True)
 
     return write

@@ -195,6 +195,15 @@ def test_trace_retention(spark):
     assert [(r.request_id, [d.id for d in r.decisions]) for r in last] == [("r19", [59, 58, 57])]
 
 
+def test_streamed_trace_is_bounded(spark, tmp_path):
+    write = stream.decision_compaction(str(tmp_path / "trace"), 2)
+    batches = [spark.createDataFrame([(f"r{e}{k}", 10 * e + k) for k in range(3)], "request_id string, id long") for e in range(4)]
+    for epoch in (0, 1, 1, 2, 3):
+        write(batches[epoch], epoch)
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "trace" / "version=3")).collect()} == {31, 32}
+    assert sorted(p.name for p in (tmp_path / "trace").iterdir()) == ["version=2", "version=3"]
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", "useful")] * 3 + [("a", "missed")] + [("a", "false_intervention")] + [("b", "correct_abstention")], "s string, outcome string")
     got = {r.s: r for r in evaluation.metrics(rows, ["s"]).collect()}
