@@ -299,7 +299,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     grouped = classes.join(roots, classes["node"] == roots["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     grouped = materialise(grouped, "roots")
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(named, "root").select("node", "component_id")
+    # written, so that the joins may split a large component and a hot fingerprint
+    named = materialise(named, "components")
+    named = materialise(grouped.join(named, "root").select("node", "component_id"), "names")
     return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
 
