@@ -33,8 +33,10 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 #: Words kept with their scores by each worker: its memory bound.
 CACHE = 300_000
-#: Words of a chain, and of the chains that are labelled together.
-CHAIN, TOGETHER = 1 << 15, 1 << 20
+#: Words of a chain.
+CHAIN = 1 << 15
+#: Characters of text that are labelled together.
+GROUP = 4 << 20
 LEXICON = 500
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 6, 0.3
 
@@ -255,35 +257,41 @@ def train(docs: DataFrame, learn: Column, sample: int = 400, window: int = 200,
     return fit(docs_) if docs_ else None
 
 
+class _Rows(dict):
+    """Rows of words in the table of scores; -1 for words without letters."""
+
+    def __init__(self):
+        super().__init__()
+        self.rare: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return self.rare[word]
+
+
 class Labeller:
-    """Labels texts with a model, the scores of words kept."""
+    """Labels texts with a model; the scores of the first CACHE words are kept."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table, self.used = model, {}, np.zeros((CACHE, len(model.labels))), 0
-
-    def _numbers(self, words: list[str]) -> list[int]:
-        """Row of each word in the table; -1 without letters."""
-        known = self.known
-        missing = list({w for w in words if w not in known})
-        if missing and self.used + len(missing) > len(self.table):
-            known.clear()
-            self.used, missing = 0, list(set(words))
-            if len(missing) > len(self.table):
-                self.table = np.zeros((2 * len(missing), len(self.model.labels)))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            lettered = [w for w in part if has_letter(w)]
-            known.update(dict.fromkeys(part, -1))
-            known.update(zip(lettered, range(self.used, self.used + len(lettered))))
-            if lettered:
-                self.table[self.used : self.used + len(lettered)] = self.model.scores(list(map(normal, lettered)))
-            self.used += len(lettered)
-        return list(map(known.__getitem__, words))
-
-    def scored(self, text: str | None) -> np.ndarray:
-        """Scores of the text's words that have letters."""
-        rows = np.array(self._numbers((text or "").split()), np.int64)
-        return self.table[rows[rows >= 0]]
+        self.model, self.known, self.kept = model, _Rows(), np.zeros((0, len(model.labels)))
+
+    def scored(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Scores of each text's words that have letters, new words scored together."""
+        split = [(t or "").split() for t in texts]
+        known, table = self.known, self.kept
+        missing = sorted(set().union(*split).difference(known))
+        if missing:
+            lettered = [w for w in missing if has_letter(w)]
+            parts = [self.model.scores(list(map(normal, lettered[i : i + 20_000]))) for i in range(0, len(lettered), 20_000)]
+            table = np.concatenate([table, *parts])
+            known.rare = dict.fromkeys(missing, -1) | dict(zip(lettered, range(len(self.kept), len(table))))
+            if len(table) <= CACHE:
+                known.update(known.rare)
+                self.kept = table
+        out = []
+        for words in split:
+            rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            out.append(table[rows[rows >= 0]])
+        return out
 
     def posteriors(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Marginals of every word, from the texts' scores."""
@@ -304,14 +312,14 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """(language, score) of each text."""
-        held, words = [], 0
+        held, size = [], 0
         for text in texts:
-            held.append(self.scored(text))
-            words += len(held[-1])
-            if words > TOGETHER:
-                yield from self._answers(held)
-                held, words = [], 0
-        yield from self._answers(held)
+            held.append(text)
+            size += len(text or "")
+            if size > GROUP:
+                yield from self._answers(self.scored(held))
+                held, size = [], 0
+        yield from self._answers(self.scored(held))
 
     def _answers(self, held: list[np.ndarray]) -> Iterator[tuple[str, float]]:
         for post in self.posteriors(held):
@@ -344,7 +352,7 @@ def label_words(texts: list[str | None], model: Model) -> list[list[tuple[str, s
     """(word, language, marginal) of every word with letters, for code-switched texts."""
     labeller = Labeller(model)
     out = []
-    for text, post in zip(texts, labeller.posteriors([labeller.scored(t) for t in texts])):
+    for text, post in zip(texts, labeller.posteriors(labeller.scored(texts))):
         words = [w for w in (text or "").split() if has_letter(w)]
         out.append([(w, model.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post)])
     return out
