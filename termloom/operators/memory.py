@@ -208,6 +208,13 @@ def _controlled(entries: DataFrame, log: DataFrame) -> DataFrame:
     return judged.withColumn("protected", F.col("protected") & ~F.coalesce(forced & (F.col("status") == "suppressed"), F.lit(False))).drop("pin", "force", "deleted")
 
 
+def applied(entries: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Entries with ``applications``, the applied decisions that name them; it changes no confidence."""
+    counts = decisions.where("action = 'apply'").groupBy("scope", "entry_id").agg(F.count(F.lit(1)).alias("_n"))
+    joined = entries.join(counts, ["scope", "entry_id"], "left")
+    return joined.withColumn("applications", F.coalesce("applications", F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def state(memory: Memory, shown: int = 12) -> DataFrame:
     """Each entry with its surfaces, keys and strongest context terms, by canonical."""
     surfaces = memory.surfaces.groupBy("scope", "entry_id").agg(F.array_sort(F.collect_list(F.struct("origin", "surface", "count"))).alias("surfaces"))

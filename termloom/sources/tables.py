@@ -65,6 +65,12 @@ def read_memory(spark: SparkSession, path: str) -> Memory:
     return Memory(*(spark.read.parquet(f"{path}/{name}") for name in MEMORY_TABLES))
 
 
+def remove_memory(spark: SparkSession, path: str) -> None:
+    for name in MEMORY_TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def append_trace(decisions: DataFrame, path: str) -> None:
     decisions.write.mode("append").parquet(path)
 

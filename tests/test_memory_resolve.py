@@ -172,11 +172,30 @@ def test_prompt_block_and_exact_dictionary(spark, people):
     assert rows.first().replaced == "Tanmay, tanmais Vishal"
 
 
+def test_applications(spark, people):
+    rows = resolve.trace(resolve.resolve(say(spark, "Tanmai", "tanmai and Iitm"), people))
+    got = {r.canonical: r.applications for r in memory.applied(people.entries, rows).collect()}
+    assert (got["Tanmay"], got["IITM"], got["Vishal"]) == (2, 1, 0)
+
+
+def test_command_line(spark, people, tmp_path, capsys):
+    from termloom.__main__ import main
+
+    log(spark, add("Zoho"), add("Mira")).write.json(str(tmp_path / "log"))
+    say(spark, "meera at joho").write.json(str(tmp_path / "said"))
+    assert main(["fold", str(tmp_path / "log"), str(tmp_path / "m")]) == 0
+    assert main(["reindex", str(tmp_path / "m")]) == 0
+    assert main(["resolve", str(tmp_path / "m"), str(tmp_path / "said"), str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).first().memory_aware == "Mira at Zoho"
+    assert main(["status", str(tmp_path / "m")]) == 0 and "entries" in capsys.readouterr().out
+    assert main(["reset", str(tmp_path / "m")]) == 0 and not (tmp_path / "m" / "keys").exists()
+    assert main(["nonsense"]) == 2
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [correct("meera", "Mira", context="meet Mira at the office"), add("Zoho"), use("Mira likes Zoho"), correct("meera", "Mira"), revert("Zoho"), use("the mira of zoho")]
     whole = log(spark, *rows)
     for k in range(3):
-        whole.where((F.col("seq") - 1) % 3 == k).where("true")
         whole.where(f"seq > {2 * k} and seq <= {2 * k + 2}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     source = spark.readStream.schema(memory.OBSERVATION).option("maxFilesPerTrigger", 100).json(str(tmp_path / "in"))
     query = stream.folded(source).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
