@@ -14,7 +14,11 @@ as rows of their own; an empty table gives no pieces; other columns do not matte
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -26,10 +30,15 @@ from pyspark.sql import functions as F
 from .ordering import positions
 from .scratch import materialise
 
+assert sys.byteorder == "little"
 CAPACITY = 4096
 END = 1
 #: Words kept with their ids by each worker; the memory bound of the cache.
 CACHE = 600_000
+#: Bytes of text whose new words are tokenized together.
+GROUP = 4 << 20
+#: Lower-case letters of one code point, and a mark that stands alone after them.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 #: Longer words, in bytes, are tokenized each time.
 LONG = 200
 
@@ -45,13 +54,35 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> dict[bytes, bytes]:
-    """Ids of words met by this worker; kept over its tasks."""
-    return {}
+def _parts(path: str):
+    """The tokenizer, the ids of the marks that PLAIN allows, and its spelling of letters as bytes."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer, spell = _tokenizer(path), ByteLevel(add_prefix_space=False, use_regex=False)
+    ids = lambda x: np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+    return tokenizer, {x: ids(x) if x else b"" for x in ("", ".", ",")}, str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in letters})
+
+
+class _Known(dict):
+    """Ids of words met by this worker, and for a while those of rarer ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.rare: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.rare[word]
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> _Known:
+    """Kept over a worker's tasks."""
+    return _Known()
 
 
 class WordIds:
-    """Ids of a text, as little-endian 32-bit bytes, from the ids of its blank-separated words.
+    """Ids of texts, as little-endian 32-bit bytes, from the ids of their blank-separated words.
 
     The tokenizer's own pre-tokenization never joins characters across white space, so a text's
     ids are its words' ids in order; A-Z are lower-cased before, as the tokenizer does.
@@ -60,21 +91,49 @@ class WordIds:
     def __init__(self, path: str):
         self.path, self.known = path, _known(path)
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        got = _tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
-
-    def encode(self, text: bytes) -> bytes:
-        words, known = text.lower().split(), self.known  # of bytes: A-Z and the six ASCII blanks
-        missing = {w for w in words if w not in known}
+    def learn(self, words: set[bytes]) -> None:
+        """Tokenize words; the first ones met are the frequent ones and stay.
+
+        Words of plain letters, with or without a mark at their end, are pieces that the tokenizer
+        would neither normalize nor split further: they go to its model at once.
+        """
+        known, (tokenizer, marks, spelt) = self.known, _parts(self.path)
+        model, found, odd = tokenizer.model.tokenize, {}, []
+        for word in words:
+            plain = PLAIN.fullmatch(word.decode())
+            if plain and len(word) <= LONG:
+                letters, mark = plain.groups()
+                found[word] = array("I", [t.id for t in model(letters.translate(spelt))]).tobytes() + marks[mark]
+            else:
+                odd.append(word)
+        got = tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
+        found.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(odd, got))
+        known.rare = found
+        if len(known) < CACHE:
+            known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; pass texts of about GROUP bytes together."""
+        split = [t.lower().split() for t in texts]  # of bytes: A-Z and the six ASCII blanks
+        missing = set().union(*split).difference(self.known)
         if missing:
-            new = self.learn(list(missing))
-            if len(known) < CACHE:  # the first words met are the frequent ones; they stay
-                known.update((w, ids) for w, ids in new.items() if len(w) <= LONG)
-            ids = [new[w] if w in new else known[w] for w in words]
-        else:
-            ids = map(known.__getitem__, words)
-        return b"".join(ids) + END.to_bytes(4, "little")
+            self.learn(missing)
+        end, of = END.to_bytes(4, "little"), self.known.__getitem__
+        for words in split:
+            yield b"".join(map(of, words)) + end
+
+
+def grouped(values: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Binary values, null as empty, by about ``size`` bytes: (place of the first, values)."""
+    first, held, total = 0, [], 0
+    for i, value in enumerate(values):
+        held.append(value.as_buffer().to_pybytes() if value.is_valid else b"")
+        total += len(held[-1])
+        if total >= size:
+            yield first, held
+            first, held, total = i + 1, [], 0
+    if held:
+        yield first, held
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -86,13 +145,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches):
         ids = WordIds(tokenizer)
         for batch in batches:
-            out = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids.encode(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, crc32(part))):
-                        column.append(value)
+            out, names = ([], [], [], [], []), batch.column(0).to_pylist()
+            for first, texts in grouped(batch.column(1), GROUP):
+                for doc, data in zip(names[first:], ids.encode(texts)):
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, k, at // 4, len(part) // 4, crc32(part))):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, PIECES.types)], schema=PIECES)
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
