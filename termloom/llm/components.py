@@ -13,16 +13,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round ties every node's larger neighbours, then its smaller ones, to the smallest
     neighbour; the edges shrink to stars in a logarithmic number of rounds.  Minima are taken
-    before the shuffle, a hot centre's edges may be split in the joins, and every round is
-    written to the shared folder.  The driver sees a count and a checksum per round.
+    before the shuffle and written before they are joined, so that a hot centre's edges may be
+    split in the joins; every round is written to the shared folder.  The driver sees a count and a checksum per round.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now, last = materialise(now, "edges"), None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         now = materialise(small.union(least.toDF("u", "v")).distinct(), "stars")
