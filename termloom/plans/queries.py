@@ -109,7 +109,8 @@ def tokenize_offsets(spark, d):
 
 
 def ngram_spans(spark, d):
-    rows = utterances(spark, d).select("utt_id", F.explode(text.spans(text.tokens(F.col("formatted")))).alias("s"))
+    rows = utterances(spark, d).select("utt_id", text.tokens(F.col("formatted")).alias("tokens"))
+    rows = rows.select("utt_id", F.explode(text.spans(F.col("tokens"))).alias("s"))  # tokens once a row, not once a span
     return rows.select("utt_id", "s.n", "s.first", "s.start", "s.end", "s.stem")
 
 
