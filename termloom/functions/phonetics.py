@@ -68,14 +68,15 @@ def normalize(word: Column) -> Column:
 
 
 def sounds(normalized: Column) -> Column:
-    """Letter groups to sounds, left to right."""
-    units = F.regexp_extract_all(normalized, F.lit("(" + "|".join(GROUPS) + "|[a-z])"), F.lit(1))
-
-    def sound(unit: Column, at: Column) -> Column:
-        soft = F.coalesce(F.substring(F.get(units, at + 1), 1, 1), F.lit("")).isin("e", "i", "y")
-        return F.when(unit == "c", F.when(soft, "s").otherwise("k")).otherwise(F.coalesce(_lookup(GROUPS | SINGLES, unit), unit))
-
-    return F.array_join(F.transform(units, sound), "")
+    """Letter groups to sounds, left to right.
+
+    No group has c but at its front, so a c before e, i or y is a unit of its own; it is marked
+    first, and no unit needs to see the next one.
+    """
+    marked = F.regexp_replace(normalized, "c(?=[eiy])", "C")
+    units = F.regexp_extract_all(marked, F.lit("(" + "|".join(GROUPS) + "|[a-zC])"), F.lit(1))
+    table = GROUPS | SINGLES | {"c": "k", "C": "s"}
+    return F.array_join(F.transform(units, lambda unit: F.coalesce(_lookup(table, unit), unit)), "")
 
 
 def strict_of(normalized: Column) -> Column:
