@@ -8,10 +8,12 @@ a spanning forest of its links, and connected components join them.  Copies shar
 and count once; tiles are split by their size, so a hot count is many tiles.
 
 Narrow radii (up to 5 bits) tile by the counts of several parts of the fingerprint, whose
-differences add up.  Wide radii, which a similarity of 0.8 needs, use one count and confirm
-links by a second fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files that the
-comparing tasks open, so only names are shuffled.  The comparisons of a wide radius grow with
-the square of the distinct fingerprints, at about two nanoseconds each.
+differences add up.  Wide radii, which a similarity of 0.8 needs, use one count and a second
+fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files that the comparing tasks
+open, so only names are shuffled.  For a similarity both fingerprints only choose candidates: each
+is confirmed by the Jaccard similarity of the two shingle sets, read from texts that were packed
+into files when the fingerprints were made.  The comparisons of a wide radius grow with the square
+of the distinct fingerprints, at about two nanoseconds each.
 
 Edge cases: a null text or one without words has fingerprint zero and is linked like any other;
 repeated rows are rows of their own; an empty table gives an empty result; other columns do not
@@ -21,7 +23,9 @@ matter; null doc_ids never name a component unless it has no other.
 from __future__ import annotations
 
 import math
+import struct
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 from itertools import product
 
@@ -42,6 +46,10 @@ TILE = 1 << 14
 FILE = 1 << 16
 #: Further 64-bit words of a wide fingerprint, and pairs confirmed at once.
 EXTRA, CONFIRM = 8, 1 << 16
+#: Candidates whose shingle sets are compared at once, and shingles of such sets held by a task.
+EXACT, HELD = 1 << 8, 1 << 20
+#: Where a packed text is: file, offset, packed and plain bytes.
+PLACE = ">32sqqq"
 #: Elements of a comparison held at once.
 BLOCK = 1 << 20
 #: Byte k of entry b is bit 7 - k of b: eight counters in a word.
@@ -77,33 +85,102 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return 0 if octets is None else int.from_bytes(_majority(octets), "big")
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, bytes]:
-    """The 64-bit SimHash and EXTRA further words from hashes of the shingles' hashes."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles' XXH64, in order."""
     octets = _octets(text, shingle)
-    if octets is None:
+    return np.empty(0, np.uint64) if octets is None else np.unique(octets.view(">u8").astype(np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[int, bytes]:
+    """The 64-bit SimHash of shingles' hashes and EXTRA further words from hashes of the hashes."""
+    if not len(h):
         return 0, bytes(8 * EXTRA)
-    h, wide = octets.view(">u8").astype(np.uint64).ravel(), []
+    wide = []
     for k in range(EXTRA):
         x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         wide.append(_majority((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8)))
-    return int.from_bytes(_majority(octets), "big"), b"".join(wide)
+    return int.from_bytes(_majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)), "big"), b"".join(wide)
+
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
-def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame:
-    """(doc_id, fp), fp as a signed long; with ``wide`` also the further words."""
+
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp), fp as a signed long."""
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            if wide:
-                fps, rest = zip(*[wide_fingerprint(t, shingle) for t in texts]) if texts else ([], [])
-            else:
-                fps, rest = [fingerprint(t, shingle) for t in texts], None
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))] + ([pa.array(rest, pa.binary())] if wide else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide"][: len(columns)])
+            fps = [fingerprint(t, shingle) for t in _texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", wide binary" * wide)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
+    """(doc_id, fp, wide, node, place) of the sets of shingles; a node is a set, a place its packed text in ``home``."""
+
+    def run(batches):
+        name, at, out, codec = uuid.uuid4().hex, 0, None, pa.Codec("zstd")
+        for batch in batches:
+            if out is None:
+                fs = open_file(home)
+                fs.create_dir(file_path(home))
+                out = fs.open_output_stream(file_path(f"{home}/{name}"), compression=None)
+            fps, wides, nodes, places = [], [], [], []
+            for t in _texts(batch.column(1)):
+                h, packed = shingle_set(t, shingle), codec.compress(t, asbytes=True)
+                fp, wide = wide_fingerprint(h)
+                out.write(packed)
+                fps.append(fp)
+                wides.append(wide)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                places.append(struct.pack(PLACE, name.encode(), at, len(packed), len(t)))
+                at += len(packed)
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+            columns = [batch.column(0), signed[0], pa.array(wides, pa.binary()), signed[1], pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide", "node", "place"])
+        if out is not None:
+            out.close()
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, wide binary, node long, place binary")
+
+
+@lru_cache(maxsize=64)
+def _packed(path: str):
+    return open_file(path).open_input_file(file_path(path))
+
+
+class Similar:
+    """Whether the shingle sets of two places have a Jaccard similarity of at least ``least``; the last sets read are held."""
+
+    def __init__(self, home: str, shingle: int, least: float):
+        self.home, self.shingle, self.least = home, shingle, least
+        self.held, self.size = OrderedDict(), 0
+
+    def shingles(self, place: bytes) -> np.ndarray:
+        if place in self.held:
+            self.held.move_to_end(place)
+            return self.held[place]
+        name, at, packed, size = struct.unpack(PLACE, place)
+        raw = _packed(f"{self.home}/{name.decode()}").read_at(packed, at)
+        found = shingle_set(pa.decompress(raw, size, codec="zstd", asbytes=True), self.shingle)
+        self.held[place], self.size = found, self.size + len(found)
+        while self.size > HELD and len(self.held) > 1:
+            self.size -= len(self.held.popitem(last=False)[1])
+        return found
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.array([self.pair(a.tobytes(), b.tobytes()) for a, b in zip(left, right)], bool)
+
+    def pair(self, left: bytes, right: bytes) -> bool:
+        a, b = self.shingles(left), self.shingles(right)
+        if min(len(a), len(b)) < self.least * max(len(a), len(b)) - 1:  # the sizes alone say no
+            return False
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared >= self.least * (len(a) + len(b) - shared) - 1e-9
 
 
 def _parts(radius: int) -> int:
@@ -148,11 +225,12 @@ class Forest:
                 label[:] = label[label]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False, exact=None) -> tuple[np.ndarray, np.ndarray]:
     """A forest (member, smaller member) of the pairs with at most ``radius`` differing bits.
 
     Members are numbered through a and then b, or through a alone if ``same``, which compares
-    each pair of a once.  ``confirm(i, j)`` may reject pairs; pairs already joined are not asked.
+    each pair of a once.  ``confirm(i, j)`` may reject pairs, and ``exact(i, j)``, which is dearer,
+    those that it leaves; pairs already joined are not asked.
     """
     shift = 0 if same else len(a)
     forest, rows = Forest(shift + len(b)), max(1, BLOCK // max(1, len(b)))
@@ -166,7 +244,14 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool
             if confirm is not None:  # the first pairs may join the rest
                 part = slice(0, CONFIRM)
                 good = confirm(i[part], j[part])
-                forest.add(i[part][good], j[part][good] + shift)
+                u, v = i[part][good], j[part][good]
+                while exact is not None and len(u):
+                    good = exact(u[:EXACT], v[:EXACT])
+                    forest.add(u[:EXACT][good], v[:EXACT][good] + shift)
+                    u, v = u[EXACT:], v[EXACT:]
+                    new = forest.label[u] != forest.label[v + shift]
+                    u, v = u[new], v[new]
+                forest.add(u, v + shift)
                 i, j = i[CONFIRM:], j[CONFIRM:]
                 new = forest.label[i] != forest.label[j + shift]
                 i, j = i[new], j[new]
@@ -206,7 +291,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("wide", "<u8", (EXTRA,))])
+RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("wide", "<u8", (EXTRA,)), ("place", f"V{struct.calcsize(PLACE)}")])
 
 
 @lru_cache(maxsize=4)
@@ -215,12 +300,12 @@ def _tile(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), RECORD)
 
 
-def wide_links(classes: DataFrame, radius: int, wide_radius: int) -> DataFrame:
-    """Links (a, b) of the column ``node`` of (fp, wide, node), confirmed by the further words."""
+def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar: Similar | None = None) -> DataFrame:
+    """Links (a, b) of the column ``node`` of (fp, wide, node, place), confirmed by the further words and by ``similar``."""
     spark, home = classes.sparkSession, folder(classes.sparkSession, "tiles")
     order = [F.bit_count("fp"), F.col("fp"), F.col("node")]
     n = max(1, min(partitions(spark), -(-classes.count() // FILE)))
-    cut = classes.select("fp", "node", "wide").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    cut = classes.select("fp", "node", "wide", "place").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def write(batches):
         held, fs = [], open_file(home)
@@ -238,6 +323,7 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int) -> DataFrame:
             rows = np.empty(batch.num_rows, RECORD)
             rows["fp"], rows["node"] = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             rows["wide"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, EXTRA)
+            rows["place"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), RECORD["place"])
             held.append(rows)
             while sum(map(len, held)) >= FILE:
                 rows = np.concatenate(held)
@@ -258,7 +344,8 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int) -> DataFrame:
             for left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = _tile(left), _tile(right)
                 near = lambda i, j, a=a["wide"], b=b["wide"]: np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= wide_radius
-                u, v = compare(np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"]), radius, near, left == right)
+                exact = similar and (lambda i, j, a=a["place"], b=b["place"]: similar(a[i], b[j]))
+                u, v = compare(np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"]), radius, near, left == right, exact)
                 if len(u):
                     nodes = a["node"] if left == right else np.concatenate([a["node"], b["node"]])
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["a", "b"])
@@ -270,29 +357,30 @@ def radii(similarity: float) -> tuple[int, int]:
     """Differing bits allowed of 64 and of 64 * EXTRA for a Jaccard similarity of the shingles.
 
     Equal weights make a cosine of 2s / (1 + s), and a bit differs with probability angle / pi.
-    The first radius adds 1.5 standard deviations, as it only chooses what the second confirms;
-    the second adds one, so that few links at the similarity itself are missed.
+    Both only choose candidates, so they allow for many standard deviations: four of the first,
+    and seven of the second, which costs nothing as strangers are further still, and which ties in
+    sets of four and five shingles need.
     """
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     reach = lambda bits, deviations: round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-    return reach(64, 1.5), reach(64 * EXTRA, 1.0)
+    return reach(64, 4.0), reach(64 * EXTRA, 7.0)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable by links.
 
-    With ``radius`` links are fingerprints that differ in that many bits or fewer; else they are
-    fingerprints whose estimated similarity is ``similarity`` or more.
+    With ``radius`` links are fingerprints that differ in that many bits or fewer;
+    else they are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
+    and fp is of the set.
     """
-    wide = radius is None or radius > 5
-    prints = materialise(fingerprints(docs, shingle, wide), "fingerprints")
-    if wide:
-        near, far = radii(similarity) if radius is None else (radius, 64 * EXTRA)
-        prints = prints.withColumn("node", F.xxhash64("fp", "wide"))
-        classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("wide").alias("wide")), "classes")
-        found = wide_links(classes, near, far)
+    if radius is None:
+        home = folder(docs.sparkSession, "texts")
+        prints = materialise(wide_fingerprints(docs, shingle, home), "fingerprints")
+        firsts = [F.min(c).alias(c) for c in ("fp", "wide", "place")]
+        classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *firsts), "classes")
+        found = wide_links(classes, *radii(similarity), Similar(home, shingle, similarity))
     else:
-        prints = prints.withColumn("node", F.col("fp"))
+        prints = materialise(fingerprints(docs, shingle), "fingerprints").withColumn("node", F.col("fp"))
         classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "classes")
         found = links(classes, radius)
     roots = components(found).withColumnRenamed("node", "linked")

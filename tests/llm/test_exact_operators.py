@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -215,6 +216,31 @@ def test_simhash_similarity(spark):
     assert wide.count() == awkward(spark).count() and simhash.near_duplicates(empty(spark), 5, 0.8).count() == 0
 
 
+def test_simhash_similarity_at_the_limit(spark):
+    """Pairs planted on both sides of 0.8 against the Jaccard similarity of their sets."""
+    rng = random.Random(8)
+    fresh = (f"x{i}" for i in itertools.count())
+    rows, n = [], 0
+    for size, changed, many in ((94, 6, 150), (99, 6, 40), (102, 7, 100), (104, 11, 40), (409, 41, 30), (409, 42, 30)):
+        for _ in range(many):  # a run of changed words changes four shingles more
+            base = [next(fresh) for _ in range(size)]
+            at, n = rng.randrange(4, size - changed - 4), n + 1
+            rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base[:at] + [next(fresh) for _ in range(changed)] + base[at + changed :]))]
+    for size in (5, 6, 8, 9, 12):  # a word more, from one shingle on
+        for _ in range(10):
+            base, n = [next(fresh) for _ in range(size + 1)], n + 1
+            rows += [(2 * n, " ".join(base[:-1])), (2 * n + 1, " ".join(base))]
+    for _ in range(10):  # lines that repeat count once
+        a, b, n = f"{words(rng, 30, 9000)} ", f"{words(rng, 30, 9000)} ", n + 1
+        rows += [(2 * n, a * 9 + b + a), (2 * n + 1, a * 2 + b * 7 + a)]
+    rows += [(0, ""), (1, "  ")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), 5, 0.8).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for d, t in rows}
+    near = {d: len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) >= 0.8 for d in sets if d % 2 == 0}
+    assert 250 < sum(near.values()) < len(near) - 150
+    assert got == {d: d - d % 2 if near[d - d % 2] else d for d in sets}
+
+
 # ------------------------------------------------------------------ 3 interleaved media
 
 
