@@ -7,6 +7,7 @@ histories (one user, one test case) apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -134,20 +135,34 @@ def strongest(terms: DataFrame, keep: int = CONTEXT_TERMS) -> DataFrame:
 def pruned_in_turn(terms: DataFrame, keep: int = CONTEXT_TERMS) -> DataFrame:
     """As ``strongest``, but pruned after every observation, so that evicted terms start anew.
 
-    The order matters, so an entry's observations are folded by one task; its state is ``keep``
-    terms and one observation's words.
+    The order matters, so an entry's observations are folded by one task, as they come from the
+    sort; its state is ``keep`` terms and one observation's words.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, float] = {}
-        for _, own in rows.sort_values(["seq", "term"]).groupby("seq", sort=True):
-            for term, weight in zip(own["term"], own["weight"]):
+    columns = ["scope", "entry_id", "term", "weight"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}  # at: scope, entry_id, seq
+
+        def pruned() -> dict[str, float]:
+            return dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:keep])
+
+        for rows in batches:
+            done = []
+            for scope, entry, seq, term, weight in zip(*(rows[c] for c in ("scope", "entry_id", "seq", "term", "weight"))):
+                if (scope, entry, seq) != at:
+                    held = pruned()
+                    if at is not None and (scope, entry) != at[:2]:
+                        done += [(*at[:2], *x) for x in held.items()]
+                        held = {}
+                    at = scope, entry, seq
                 held[term] = held.get(term, 0.0) + weight
-            held = dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:keep])
-        first = rows.iloc[0]
-        return pd.DataFrame({"scope": first["scope"], "entry_id": first["entry_id"], "term": list(held), "weight": list(held.values())})
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if at is not None:
+            yield pd.DataFrame([(*at[:2], *x) for x in pruned().items()], columns=columns)
 
-    return terms.groupBy("scope", "entry_id").applyInPandas(fold, "scope string, entry_id long, term string, weight double")
+    ordered = terms.select("scope", "entry_id", "seq", "term", "weight").repartition("scope", "entry_id").sortWithinPartitions("scope", "entry_id", "seq")
+    return ordered.mapInPandas(fold, "scope string, entry_id long, term string, weight double")
 
 
 def surface_counts(rows: DataFrame) -> DataFrame:
@@ -167,8 +182,12 @@ def phonetic_keys(surfaces: DataFrame, metaphone: bool = True) -> DataFrame:
     return words.select("scope", "entry_id", F.inline(phonetics.keys_of_words(F.col("words"), last))).distinct()
 
 
-def fold(observations: DataFrame, metaphone: bool = True, exact_context: bool = False) -> Memory:
-    """The memory after a log; rejected observations leave no trace."""
+def fold(observations: DataFrame, metaphone: bool = True, exact_context: bool = True) -> Memory:
+    """The memory after a log; rejected observations leave no trace.
+
+    Without ``exact_context`` context terms are summed and pruned once, which differs for entries
+    that meet more than CONTEXT_TERMS terms.
+    """
     log = checked(observations).where("problem is null").drop("problem")
     named = _named(log)
     born = _born(named)

@@ -108,6 +108,25 @@ def test_pruning_in_turn_differs_only_beyond_the_bound(spark):
     assert as_set(memory.pruned_in_turn(terms, 4)) == set(held.items())
 
 
+def test_fold_prunes_context_after_every_observation(spark):
+    rng = random.Random(3)
+    heard = [(name, [f"{name[0].lower()}{rng.choice('bdfgkmnpt')}{rng.choice('aeiou')}{rng.choice('bdfgkmnpt')}{rng.choice('aeiou')}q" for _ in range(9)]) for name in ("Xerxes", "Wolfgang") * 40]
+    rows = [correct("zzz", name, context=" ".join(words)) for name, words in heard]
+    want = {}
+    for name, words in heard:  # the reference's order: every word of an observation, then the prune
+        held = want.setdefault(name, {})
+        for w in words:
+            held[w] = held.get(w, 0.0) + 1.0
+        want[name] = dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:25])
+    observed = log(spark, *rows)
+    m, once = memory.fold(observed, metaphone=False), memory.fold(observed, metaphone=False, exact_context=False)
+    ids = {e.entry_id: e.canonical for e in m.entries.collect()}
+    of = lambda m: {n: {r.term: r.weight for r in m.context.collect() if ids[r.entry_id] == n} for n in want}
+    assert of(m) == want != of(once)
+    shown = {r.canonical: [(t.term, t.weight) for t in r.context_terms] for r in memory.state(m).collect()}
+    assert shown == {n: sorted(h.items(), key=lambda x: (-x[1], x[0]))[:12] for n, h in want.items()}
+
+
 def test_controls(spark):
     rows = [correct("a", "Alpha"), correct("b", "Beta"), {"kind": "pin", "canonical": "alpha"}, {"kind": "delete", "canonical": "Beta"}, correct("c", "Gamma"), {"kind": "force", "canonical": "Gamma", "status": "suppressed"}]
     e = entries(memory.fold(log(spark, *rows)))
