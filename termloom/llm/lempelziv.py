@@ -2,12 +2,14 @@
 
 Blocks of candidate contexts (see ``repeats``) are reference and document at once: a suffix
 array indexes the block, and every context is factored greedily into the longest matches that
-the reference has at another position.  A factor as long as the window makes its windows
-duplicates; windows that cross the boundary of a factor are checked there one by one.
+the reference has at another position.  The factors decide: a window inside one is a duplicate;
+a window that has a whole factor inside it, neither at its start nor at its end, is none, as that
+factor would have reached further; windows that cross one boundary are checked there.  Blocks
+hold whole anchors, so a window meets every block that can hold a match for it.
 
 Removes every word covered by a window of words that also starts anywhere else, same document
-included; windows are judged on the input and never cross documents.  Words are compared by
-64-bit hashes, a window at a time.
+included; windows are judged on the input and never cross documents.  A word is its XXH64 in
+the blocks; contexts that the blocks compare have equal anchors as well.
 
 Edge cases: null texts have no words; texts of fewer words than the window keep all; repeated
 rows are copies of each other; very long texts are hashed in pieces; an empty table gives an
@@ -17,68 +19,73 @@ empty result; other columns do not matter.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .repeats import Rolling, Units, marked, repeated
-from .runlength import BYTES
+from .repeats import Units, marked, mixed, ranges, repeated
 from .suffixes import Block
 
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, *range(0x09, 0x0E)]] = True
-
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and the number of words of each text."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    blank = BLANK[data]
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    values = Rolling(BYTES[data]).of(starts, ends)
-    text_ends = np.cumsum([len(t) + 1 for t in texts]) + 1
-    counts = np.searchsorted(starts, text_ends)
-    return values, np.diff(np.concatenate([[0], counts]))
+    """The XXH64 of each word, and the number of words of each text."""
+    split = [t.split() for t in texts]  # of bytes: the six ASCII blanks
+    lengths = np.array([len(words) for words in split], np.int64)
+    every = chain.from_iterable(split)
+    return np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, int(lengths.sum())), lengths
 
 
 class Reference:
-    """An indexed block: the longest match of any position at another one."""
+    """An indexed block, asked for the longest match of a position at any other."""
 
     def __init__(self, parts: list[np.ndarray]):
         self.block = Block(parts)
-        order = self.block.order
-        near = self.block.common(order[1:], order[:-1])
-        self.longest = np.zeros(len(order), np.int64)
-        self.longest[order] = np.maximum(np.append(0, near), np.append(near, 0))
-
-    def factors(self, start: int, end: int):
-        """Greedy factors (position, length); a word that occurs once is a factor of its own."""
-        at = start
-        while at < end:
-            length = max(1, int(self.longest[at]))
-            yield at, length
-            at += length
+        self.rank = np.empty(len(self.block.order), np.int64)
+        self.rank[self.block.order] = np.arange(len(self.rank))
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """The neighbours in suffix order have it."""
+        order, rank = self.block.order, self.rank[at]
+        above = np.where(rank > 0, self.block.common(at, order[rank - 1]), 0)
+        last = len(order) - 1
+        return np.maximum(above, np.where(rank < last, self.block.common(at, order[np.minimum(rank + 1, last)]), 0))
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy factors (position, length) of all contexts, in step; a word without a match is one of length 0."""
+        at, ends, found = self.block.starts, self.block.ends, []
+        while len(at):
+            length = self.longest(at)
+            found.append((at, length))
+            follow = at + np.maximum(length, 1)
+            at, ends = follow[follow < ends], ends[follow < ends]
+        at, length = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at)
+        return at[order], length[order]
 
 
 def repeated_starts(parts: list[np.ndarray], window: int) -> list[np.ndarray]:
     """For each context the starts of windows that occur elsewhere in the block."""
-    reference, out = Reference(parts), []
-    for start, end in zip(reference.block.starts.tolist(), reference.block.ends.tolist()):
-        found = []
-        for at, length in reference.factors(start, end):
-            inner = at + max(0, int(reference.longest[at]) - window + 1)  # windows that end within the factor
-            if inner > at:
-                found.append(np.arange(at, inner))
-            crossing = np.flatnonzero(reference.longest[inner : at + length] >= window)
-            if len(crossing):
-                found.append(crossing + inner)
-        out.append(np.concatenate(found) - start if found else np.zeros(0, np.int64))
-    return out
+    reference = Reference(parts)
+    block, (at, length) = reference.block, reference.factors()
+    mark = np.zeros(len(block.order), bool)
+    inside = np.maximum(length - window + 1, 0)  # windows within the factor
+    mark[ranges(at, inside)] = True
+    # the others start behind them and end in the next factor, not beyond it
+    end = at + np.maximum(length, 1)
+    reach = np.minimum(np.append(end[1:], end[-1:]), end + window)  # of the next factor
+    own_end = block.ends[np.searchsorted(block.ends, at)]
+    reach = np.where(end < own_end, reach, end)
+    first, stop = np.maximum(at + inside, at), np.minimum(end, np.minimum(reach, own_end) - window + 1)
+    crossing = ranges(first, np.maximum(stop - first, 0))
+    mark[crossing[reference.longest(crossing) >= window]] = True
+    return [np.flatnonzero(mark[a:b]) for a, b in zip(block.starts, block.ends)]
 
 
 def _units(window: int) -> Units:
-    return Units(window, max(1, (window + 1) // 2), word_hashes, lambda text: word_hashes([text])[0], "<u8", repeated_starts)
+    return Units(window, max(1, (window + 1) // 2), word_hashes, "<u8", mixed, repeated_starts)
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, list[bytes]]:

@@ -3,20 +3,24 @@
 A window is ``window`` consecutive units (bytes, words) of one text.  Windows are found through
 anchors: each window's anchor is its leftmost gram of least hash, so equal windows have equal
 anchors at equal places, and consecutive windows share one.  An anchor's windows make a context,
-a stretch of text.  Then
+a stretch of text, and its content is named by 128 bits of XXH3.  Then
 
-1. contexts of equal anchor and content that occur twice are repeated as a whole;
-2. contexts whose anchor also has other contents are compared exactly by the operator's own
-   index: their texts are fetched and gathered by anchor into blocks of bounded size;
-3. anchors with more than ``HOT`` different contents would make unbounded blocks.  Their windows
-   are counted one by one by hash instead, which splits them evenly.
+1. anchors are counted, and contexts of anchors that occur once are gone;
+2. of each content one place, or two if it occurs more often, are fetched and gathered by anchor
+   into blocks of bounded size; the operator's own index says which of a block's windows occur
+   elsewhere in it;
+3. a content that occurs more often, and that its index found to be repeated as a whole, is marked
+   at all of its places, so copies are never expanded into the index.
 
-Equal contexts of a batch travel as one row, so copies weigh little however many they are.
-Windows are judged on the whole input.  Texts longer than ``PIECE`` units are hashed in pieces
-that overlap by a window, which changes no window's anchor.
+An anchor with more than ``HOT`` different contents would make an unbounded block.  Its contexts
+are cut into their windows, each a context of its own named by its own content, of which again
+two places are fetched; the key is finer, the index and its answer are the same.  Hashes only
+choose what the index compares: unequal contents may meet there, equal ones always do.
 
-Rows are told apart by doc_id and the text's CRC-32: rows that repeat a doc_id with another text
-are documents of their own, and equal rows are copies of each other.
+Windows are judged on the whole input.  Texts longer than ``PIECE`` units are hashed in pieces
+that overlap by a window, which changes no window's anchor.  Rows are told apart by 128 bits of
+the SHA-256 of doc_id and text: rows that repeat a doc_id, or have none, are documents of their
+own, and rows that are equal in both are copies of each other, which lose the same.
 """
 
 from __future__ import annotations
@@ -26,19 +30,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, partitions
+from .scratch import materialise, owned, partitions
 
 #: Units hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Different contents of an anchor that are still compared in one block.
 HOT = 256
-#: Units of a block, about; an anchor adds at most HOT contexts.
-BLOCK = 1 << 19
+#: Units of a block, about; an anchor adds at most 2 * HOT contexts.
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
-PLACE = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("windows", "<u4"), ("start", "<i8")])
+#: Where a context is: its row, its first unit and its number of windows; ordered as bytes.
+PLACE = np.dtype([("a", ">u8"), ("b", ">u8"), ("start", ">i8"), ("windows", ">u4")])
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -63,22 +69,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Rolling:
-    """Hashes of any stretches of an array of 64-bit values."""
-
-    def __init__(self, values: np.ndarray):
-        self.up, self.down = _power(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
-
-    def grams(self, length: int) -> np.ndarray:
-        h = self.sums[length:] - self.sums[:-length]
-        h *= self.down[: len(h)]
-        return mixed(h)
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def grams(values: np.ndarray, length: int) -> np.ndarray:
+    """A rolling hash of every stretch of ``length``; it only chooses anchors, so collisions do no harm."""
+    up, down = _power(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    h = sums[length:] - sums[:-length]
+    h *= down[: len(h)]
+    return mixed(h)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -88,13 +86,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int, gram: int):
-    """(piece, first window, windows, anchor, content) of each context; windows relative to the piece."""
+    """(piece, first window, windows, anchor) of each context; the first window's place is absolute."""
     whole = np.flatnonzero(lengths >= window)
     if not len(whole):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
-    rolling = Rolling(values)
-    hashes = rolling.grams(gram)
+        return empty, empty, empty, empty
+    hashes = grams(values, gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     width, have, least = window - gram + 1, 1, key
     while 2 * have <= width:
@@ -108,9 +105,14 @@ def anchors(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window:
     piece = np.repeat(whole, counts)
     head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])]))
     last = np.concatenate([head[1:], [len(at)]]) - 1
-    first, windows, piece = at[head], last - head + 1, piece[head]
-    content = rolling.of(first, first + windows + window - 1)
-    return piece, first - starts[piece], windows, hashes[place[head]].view(np.int64), content.view(np.int64)
+    return piece[head], at[head], last - head + 1, hashes[place[head]].view(np.int64)
+
+
+def contents(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each stretch, as rows of two longs."""
+    data, size, digest = memoryview(np.ascontiguousarray(units)).cast("B"), units.itemsize, xxhash.xxh3_128_digest
+    found = b"".join([digest(data[a:b]) for a, b in zip((starts * size).tolist(), (ends * size).tolist())])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 @dataclass(frozen=True)
@@ -119,11 +121,11 @@ class Units:
 
     window: int
     gram: int
-    #: list of texts -> (64-bit value of each unit, number of units of each text)
-    hashed: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    #: a text -> its units as they are gathered and compared, of type ``kind``
-    stored: Callable[[bytes], np.ndarray]
+    #: list of texts -> (their units, of type ``kind``, the number of units of each text)
+    units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     kind: str
+    #: units -> 64-bit values, for the anchors
+    values: Callable[[np.ndarray], np.ndarray]
     #: block of contexts -> for each its repeated window starts
     matcher: Callable[[list[np.ndarray], int], list[np.ndarray]]
 
@@ -132,232 +134,275 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
 
 
-def _hashed_pieces(texts: list[bytes], units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(values, text, offset, start, length) of pieces, about PIECE units at a time."""
+def _pieces(texts: list[bytes], units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(units, text, offset, start, length) of pieces, about PIECE units at a time."""
     at = 0
     while at < len(texts):
         to, held = at, 0
         while to < len(texts) and (to == at or held + len(texts[to]) <= PIECE):
             held += len(texts[to])
             to += 1
-        values, lengths = units.hashed(texts[at:to])
-        if to == at + 1 and len(values) > PIECE:
-            for a in range(0, max(1, len(values) - units.window + 1), PIECE):
-                part = values[a : a + PIECE + units.window - 1]
+        found, lengths = units.units(texts[at:to])
+        if to == at + 1 and len(found) > PIECE:
+            for a in range(0, max(1, len(found) - units.window + 1), PIECE):
+                part = found[a : a + PIECE + units.window - 1]
                 yield part, np.array([at]), np.array([a]), np.array([0]), np.array([len(part)])
         else:
             n = to - at
-            yield values, np.arange(at, to), np.zeros(n, np.int64), np.cumsum(lengths) - lengths, lengths
+            yield found, np.arange(at, to), np.zeros(n, np.int64), np.cumsum(lengths) - lengths, lengths
         at = to
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row: of the SHA-256 of its doc_id and its text."""
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"), F.lit(b":"), F.coalesce(text.cast("binary"), F.lit(b"")))
+    return F.substring(F.unhex(F.sha2(named, 256)), 1, 16)
+
+
 def _sources(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("binary")
-    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), text.alias("text"))
+    return docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
 
 
-def _context_rows(anchor, content, doc, crc, start, windows) -> pa.RecordBatch:
-    """Equal contexts of the batch as one row with one place.
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u8").reshape(-1, 2)
 
-    A context that the batch holds several times is repeated whatever else there is: its places go
-    in a row of their own under a key that no other has, so that they do not gather by anchor, and
-    the context's row has its first place twice, which counts as two.
-    """
-    order = np.lexsort((content, anchor))
-    anchor, content = anchor[order], content[order]
-    place = np.empty(len(order), PLACE)
-    place["doc"], place["crc"], place["start"], place["windows"] = doc[order], crc[order], start[order], windows[order]
-    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])) if len(order) else np.zeros(0, np.int64)
+
+CONTEXTS = "anchor long, c1 long, c2 long, n long, places binary"
+
+
+def _context_rows(anchor: np.ndarray, content: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Equal contexts of the batch as one row, its places packed; of several the lesser of first and last comes first."""
+    order = np.lexsort((content[:, 1], content[:, 0]))
+    anchor, content, place = anchor[order], content[order], place[order].astype(PLACE)  # concatenating made it native
+    new = (content[1:] != content[:-1]).any(axis=1)
+    head = np.flatnonzero(np.concatenate([[True], new])) if len(order) else np.zeros(0, np.int64)
     times = np.diff(np.append(head, len(order)))
-    many = times > 1
-    every, first = head[many], place[head[many]]
-    own = mixed(anchor[every].view(np.uint64) ^ mixed(content[every].view(np.uint64) + first["doc"].view(np.uint64) * np.uint64(BASE) + first["start"].view(np.uint64))).view(np.int64)
-    index = np.concatenate([np.repeat(head, np.minimum(times, 2)), ranges(every, times[many])])
-    lengths = np.concatenate([np.minimum(times, 2), times[many]]) * PLACE.itemsize
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    places = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(place[index].tobytes())])
-    columns = [np.concatenate([anchor[head], own]), np.concatenate([content[head], own])]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), places], names=["anchor", "content", "places"])
+    several = np.flatnonzero(times > 1)
+    first, last = head[several], head[several] + times[several] - 1
+    swap = (place["a"][first] > place["a"][last]) | ((place["a"][first] == place["a"][last]) & (place["start"][first] > place["start"][last]))
+    first, last = first[swap], last[swap]
+    place[first], place[last] = place[last], place[first]
+    bounds = np.concatenate([head, [len(order)]]) * PLACE.itemsize
+    places = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(place.tobytes())])
+    columns = [anchor[head], content[head, 0], content[head, 1], times]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), places], names=["anchor", "c1", "c2", "n", "places"])
 
 
-CONTEXTS = "anchor long, content long, places binary"
+def _placed(keys: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    place = np.empty(len(start), PLACE)
+    place["a"], place["b"], place["start"], place["windows"] = keys[:, 0], keys[:, 1], start, windows
+    return place
 
 
 def contexts(sources: DataFrame, units: Units) -> DataFrame:
-    """(anchor, content, places) of all texts; ``places`` packs PLACE records."""
+    """CONTEXTS of all texts; ``places`` packs PLACE records."""
 
     def run(batches):
         for batch in batches:
-            doc, crc = (batch.column(c).fill_null(0).to_numpy() for c in ("doc_id", "crc"))
-            found = []
-            texts = _texts(batch)
-            for values, text, offset, start, length in _hashed_pieces(texts, units):
-                piece, first, windows, anchor, content = anchors(values, start, length, units.window, units.gram)
-                found.append((anchor, content, doc[text[piece]], crc[text[piece]], first + offset[piece], windows))
+            keys, found = _keys(batch), []
+            for part, text, offset, start, length in _pieces(_texts(batch), units):
+                piece, first, windows, anchor = anchors(units.values(part), start, length, units.window, units.gram)
+                content = contents(part, first, first + windows + units.window - 1)
+                found.append((anchor, content, _placed(keys[text[piece]], first - start[piece] + offset[piece], windows)))
             if found:
                 yield _context_rows(*(np.concatenate(x) for x in zip(*found)))
 
-    return sources.mapInArrow(run, CONTEXTS)
+    return sources.mapInArrow(owned(run), CONTEXTS)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Contexts of anchors that occur twice: how often the context occurs, a leader of each, the anchor's contents."""
-    rows = rows.withColumn("n", (F.octet_length("places") / PLACE.itemsize).cast("long"))
-    rows = rows.repartition(partitions(rows.sparkSession), "anchor")
-    by, own = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
-    rows = rows.withColumn("total", F.sum("n").over(by)).where("total > 1")
-    rows = rows.withColumns({"same": F.sum("n").over(own), "leader": F.row_number().over(own.orderBy("places")) == 1})
-    return rows.withColumn("contents", F.sum(F.col("leader").cast("long")).over(by))
+def busy_anchors(docs: DataFrame, units: Units) -> DataFrame:
+    """Anchors of more than one context: summed a batch and a partition at a time before the shuffle."""
 
+    def run(batches):
+        for batch in batches:
+            found = [anchors(units.values(part), start, length, units.window, units.gram)[3] for part, _, _, start, length in _pieces(_texts(batch), units)]
+            if found:
+                anchor, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
-MARKS = "doc_id long, crc long, start long, end long"
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(owned(run), "anchor long, n long")
+    return counted.groupBy("anchor").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor")
 
 
-def _mark_batch(doc, crc, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, crc, start, end)], names=["doc_id", "crc", "start", "end"])
+def _contents(rows: DataFrame) -> DataFrame:
+    """A row per content: (anchor, c1, c2, n, low, high), two different places if it has them."""
+    low, high = F.substring("places", 1, PLACE.itemsize), F.substring("places", -PLACE.itemsize, PLACE.itemsize)
+    return rows.groupBy("c1", "c2").agg(F.min("anchor").alias("anchor"), F.sum("n").alias("n"), F.min(low).alias("low"), F.max(high).alias("high"))
 
 
-def _unpacked(rows: DataFrame, window: int) -> DataFrame:
-    """Marks of all places, neighbours of a batch merged."""
+def _members(rows: DataFrame) -> DataFrame:
+    """(block, c1, c2, single, place): one row per content, two if it occurs twice or more."""
+    both = F.when((F.col("n") > 1) & (F.col("low") != F.col("high")), F.array("low", "high")).otherwise(F.array("low"))
+    return rows.select("block", "c1", "c2", (F.col("n") == 1).alias("single"), F.explode(both).alias("place"))
 
-    def run(batches):
-        for batch in batches:
-            place = np.frombuffer(b"".join(batch.column(0).to_pylist()), PLACE)
-            if len(place):
-                yield _mark_batch(*merged(place["doc"], place["crc"], place["start"], place["start"] + place["windows"] + (window - 1)))
 
-    return rows.select("places").mapInArrow(run, MARKS)
+def _number(part: Column) -> Column:
+    return F.conv(F.hex(part), 16, 10).cast("long")
 
 
-def merged(doc, crc, start, end):
-    """Overlapping or adjoining marks of a document as one."""
-    order = np.lexsort((start, crc, doc))
-    doc, crc, start, end = (np.asarray(x)[order].astype(np.int64) for x in (doc, crc, start, end))
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])])
-    # ends rise within a document: lift each document above the ones before
-    lift = np.cumsum(new) * (int(end.max()) + 1)
-    reach = np.maximum.accumulate(end + lift) - lift
-    head = np.flatnonzero(new | np.concatenate([[True], start[1:] > reach[:-1]]))
-    last = np.append(head[1:], len(doc)) - 1
-    return doc[head], crc[head], start[head], reach[last]
+def _wanted(members: DataFrame) -> DataFrame:
+    """The places wanted of each row of the sources, gathered: bounded by the row's own text."""
+    at = F.struct("block", "c1", "c2", "single", _number(F.substring("place", 17, 8)).alias("start"), _number(F.substring("place", 25, 4)).alias("windows"))
+    return members.select(F.substring("place", 1, 16).alias("key"), at.alias("at")).groupBy("key").agg(F.collect_set("at").alias("wanted"))
 
 
-FETCHED = "anchor long, need boolean, doc_id long, crc long, start long, windows long, units binary, places binary"
+FETCHED = pa.schema([
+    ("block", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("single", pa.bool_()), ("key", pa.binary()), ("start", pa.int64()), ("windows", pa.int64()), ("units", pa.binary()),
+])
 
 
-def _fetch(sources: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """FETCHED rows: the texts of contexts, by anchor, and the windows of hot ones, by hash, with their places.
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    lists = batch.column("wanted")
+    bounds, inner = lists.offsets.to_numpy(), lists.flatten()
+    return bounds - bounds[0], [inner.field(i).to_numpy(zero_copy_only=False) for i in range(inner.type.num_fields)]
 
-    ``wanted`` has the contexts of each document.  Equal windows of a batch travel as one row.
-    """
-    per = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("anchor", "start", "windows", "need", "hot")).alias("wanted"))
-    # equal rows are fetched each; their contexts are repeated anyway, so that adds no match
-    joined = sources.join(per.hint("shuffle_hash"), ["doc_id", "crc"])
-    window = units.window
-    names = [c.split()[0] for c in FETCHED.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-    def batch_of(**columns) -> pa.RecordBatch:
-        n = len(columns["anchor"])
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds)], names=names)
-
-    def hot_windows(held: list[tuple]) -> pa.RecordBatch:
-        content, doc, crc, start = (np.concatenate(x) for x in zip(*held))
-        packed = _context_rows(content, content, doc, crc, start, np.ones(len(start), np.int64))
-        return batch_of(anchor=packed.column("anchor"), places=packed.column("places"))
+
+def _fetch(sources: DataFrame, members: DataFrame, units: Units) -> DataFrame:
+    """FETCHED rows: the units of the wanted contexts."""
+    joined = sources.join(_wanted(members).hint("shuffle_hash"), "key")
 
     def run(batches):
         for batch in batches:
-            doc, crc = (batch.column(c).to_numpy() for c in ("doc_id", "crc"))
-            lists = batch.column("wanted")
-            bounds, inner = lists.offsets.to_numpy(), lists.flatten()
-            anchor, start, windows, need, hot = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-            bounds = bounds - bounds[0]
-            rows, held, many = [], 0, []
+            keys, (bounds, (block, c1, c2, single, start, windows)) = batch.column("key").to_pylist(), _lists(batch)
+            rows, held = [], 0
             for i, text in enumerate(_texts(batch)):
-                own = np.arange(bounds[i], bounds[i + 1])
-                heat = own[hot[own]]
-                if len(heat):
-                    at = ranges(start[heat].astype(np.int64), windows[heat].astype(np.int64))
-                    content = Rolling(units.hashed([text])[0]).of(at, at + window).view(np.int64)
-                    many.append((content, np.full(len(at), doc[i]), np.full(len(at), crc[i]), at))
-                values = units.stored(text) if len(heat) < len(own) else None
-                for j in own[~hot[own]].tolist():
+                found = units.units([text])[0]
+                for j in range(bounds[i], bounds[i + 1]):
                     s, n = int(start[j]), int(windows[j])
-                    rows.append((anchor[j], need[j], doc[i], crc[i], s, n, values[s : s + n + window - 1].tobytes()))
+                    rows.append((block[j], c1[j], c2[j], single[j], keys[i], s, n, found[s : s + n + units.window - 1].tobytes()))
                     held += len(rows[-1][-1])
-                if held > 8 << 20:
-                    yield batch_of(**dict(zip(names, zip(*rows))))
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FETCHED.types)], schema=FETCHED)
                     rows, held = [], 0
-                if sum(len(m[0]) for m in many) > 200_000:
-                    yield hot_windows(many)
-                    many = []
             if rows:
-                yield batch_of(**dict(zip(names, zip(*rows))))
-            if many:
-                yield hot_windows(many)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FETCHED.types)], schema=FETCHED)
+
+    return joined.mapInArrow(owned(run), "block long, c1 long, c2 long, single boolean, key binary, start long, windows long, units binary")
 
-    return joined.mapInArrow(run, FETCHED)
 
+def _cut(sources: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
+    """CONTEXTS of the single windows of hot contents."""
+    joined = sources.join(_wanted(_members(rows.withColumn("n", F.lit(1)))).hint("shuffle_hash"), "key")
 
-def _compared(texts: DataFrame, units: Units) -> DataFrame:
-    """Marks of the contexts that ``need`` them, from the operator's index over blocks of whole anchors."""
-    n = partitions(texts.sparkSession)
-    gathered = texts.repartition(n, "anchor").sortWithinPartitions("anchor")
+    def run(batches):
+        for batch in batches:
+            keys, (bounds, (_, _, _, _, start, windows)) = _keys(batch), _lists(batch)
+            held = []
+            for i, text in enumerate(_texts(batch)):
+                found, own = units.units([text])[0], slice(bounds[i], bounds[i + 1])
+                at = np.unique(ranges(start[own].astype(np.int64), windows[own].astype(np.int64)))
+                content = contents(found, at, at + units.window)
+                held.append((np.zeros(len(at), np.int64), content, _placed(np.repeat(keys[i : i + 1], len(at), axis=0), at, np.ones(len(at), np.int64))))
+                if sum(len(x[0]) for x in held) > 200_000:
+                    yield _context_rows(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+            if held:
+                yield _context_rows(*(np.concatenate(x) for x in zip(*held)))
+
+    return joined.mapInArrow(owned(run), CONTEXTS)
+
+
+FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("whole", pa.bool_()), ("key", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _compared(fetched: DataFrame, units: Units) -> DataFrame:
+    """FOUND rows, from the operator's index over blocks of whole anchors.
+
+    Stretches (key, start, end) that repeated windows cover, of contents that occur once; and the
+    contents (c1, c2) that occur more often, if the index found all of their windows (``whole``).
+    """
+    gathered = fetched.repartition(partitions(fetched.sparkSession), "block").sortWithinPartitions("block")
     window, kind = units.window, np.dtype(units.kind)
 
-    def block(rows: list[tuple]) -> pa.RecordBatch | None:
-        starts = units.matcher([np.frombuffer(r[6], kind) for r in rows], window)
-        found = [(r[2], r[3], r[4] + a) for r, own in zip(rows, starts) if r[1] for a in own[own < r[5]].tolist()]
-        if not found:
-            return None
-        doc, crc, start = map(np.array, zip(*found))
-        return _mark_batch(*merged(doc, crc, start, start + window))
+    def indexed(rows: list[tuple]) -> pa.RecordBatch | None:
+        starts, out = units.matcher([np.frombuffer(r[7], kind) for r in rows], window), []
+        for (_, c1, c2, single, key, start, windows, _), own in zip(rows, starts):
+            if not single and len(own) == windows:
+                out.append((c1, c2, True, None, None, None))
+            elif len(own):
+                cut = np.flatnonzero(own[1:] > own[:-1] + window)
+                for a, b in zip(own[np.concatenate([[0], cut + 1])].tolist(), own[np.append(cut, len(own) - 1)].tolist()):
+                    out.append((None, None, False, key, start + a, start + b + window))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND) if out else None
 
     def run(batches):
-        rows, held = [], 0
+        rows, held, times = [], 0, {}
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if held > BLOCK and row[0] != rows[-1][0]:
-                    if (got := block(rows)) is not None:
-                        yield got
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[6]) // kind.itemsize
-        if rows and (got := block(rows)) is not None:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[0] != rows[-1][0]:
+                    times = {}
+                    if held > BLOCK:
+                        if (got := indexed(rows)) is not None:
+                            yield got
+                        rows, held = [], 0
+                same = times.get(row[4:6], 0)
+                if same < 2:  # a third equal row adds nothing to the block
+                    times[row[4:6]] = same + 1
+                    rows.append(row)
+                    held += len(row[7]) // kind.itemsize
+        if rows and (got := indexed(rows)) is not None:
             yield got
 
-    return gathered.mapInArrow(run, MARKS)
+    return gathered.mapInArrow(owned(run), "c1 long, c2 long, whole boolean, key binary, start long, end long")
 
 
-def repeated(docs: DataFrame, units: Units) -> DataFrame:
-    """(doc_id, crc, start, end): stretches of units that repeated windows cover, not merged over sources."""
-    sources = _sources(docs)
-    known = _counted(contexts(sources, units))
-    known = materialise(known.select("anchor", "places", "same", "leader", "total", "contents"), "contexts")
-    rows = known.where("total > same and leader")
+MARKS = "key binary, start long, end long"
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Overlapping or adjoining marks of a row as one; rows are numbers."""
+    order = np.lexsort((start, row))
+    row, start, end = (np.asarray(x)[order].astype(np.int64) for x in (row, start, end))
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    # ends rise within a row: lift each row above the ones before
+    lift = np.cumsum(new) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + lift) - lift
+    head = np.flatnonzero(new | np.concatenate([[True], start[1:] > reach[:-1]]))
+    last = np.append(head[1:], len(row)) - 1
+    return row[head], start[head], reach[last]
+
 
-    def first(batches):
+def _unpacked(rows: DataFrame, window: int) -> DataFrame:
+    """MARKS of all places, neighbours of a batch merged."""
+
+    def run(batches):
         for batch in batches:
-            place = np.frombuffer(b"".join(p[: PLACE.itemsize] for p in batch.column(1).to_pylist()), PLACE)
-            cut = [pa.array(place[c].astype(np.int64)) for c in ("doc", "crc", "start", "windows")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cut, batch.column(2), batch.column(3)], names=["anchor", "doc_id", "crc", "start", "windows", "need", "hot"])
+            place = np.frombuffer(b"".join(batch.column(0).to_pylist()), PLACE)
+            if len(place):
+                names = np.frombuffer(place.tobytes(), np.uint8).reshape(-1, PLACE.itemsize)[:, :16]
+                keys, row = np.unique(np.ascontiguousarray(names).view("V16").ravel(), return_inverse=True)
+                row, start, end = merged(row, place["start"], place["start"] + place["windows"] + (window - 1))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[r].tobytes() for r in row], pa.binary()), pa.array(start), pa.array(end)], names=["key", "start", "end"])
+
+    return rows.select("places").mapInArrow(run, MARKS)
 
-    rows = rows.select("anchor", "places", (F.col("same") == 1).alias("need"), (F.col("contents") > HOT).alias("hot"))
-    wanted = rows.mapInArrow(first, "anchor long, doc_id long, crc long, start long, windows long, need boolean, hot boolean")
-    fetched = materialise(_fetch(sources, wanted, units), "fetched")
-    compared = _compared(fetched.where("units is not null"), units)
-    hot = _counted(fetched.where("places is not null").select("anchor", F.col("anchor").alias("content"), "places"))
-    sure = known.where("same > 1").select("places").unionByName(hot.select("places"))
-    return _unpacked(sure, units.window).unionByName(compared)
+
+def repeated(docs: DataFrame, units: Units) -> DataFrame:
+    """(key, start, end): stretches of units that repeated windows cover, not merged over batches."""
+    sources = _sources(docs)
+    busy = materialise(busy_anchors(docs, units), "anchors")
+    kept = materialise(contexts(sources, units).join(busy, "anchor"), "contexts")  # a hot anchor may be split here
+    known = materialise(_contents(kept), "contents")
+    hot = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = materialise(hot, "hot")
+    members = known.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    several = kept.select("c1", "c2", "places")
+    cool = _members(members.where("not hot or n > 1").withColumn("block", F.when(F.col("hot"), F.col("c1")).otherwise(F.col("anchor"))))
+    if not hot.isEmpty():
+        cut = materialise(_cut(sources, members.where("hot").withColumn("block", F.col("c1")), units), "windows")
+        cool = cool.unionByName(_members(_contents(cut).where("n > 1").withColumn("block", F.col("c1"))))
+        several = several.unionByName(cut.select("c1", "c2", "places"))
+    found = materialise(_compared(_fetch(sources, cool, units), units), "found")
+    whole = materialise(found.where("whole").select("c1", "c2").distinct(), "whole")
+    everywhere = several.join(whole, ["c1", "c2"])  # so may a hot content
+    return _unpacked(everywhere, units.window).unionByName(found.where("not whole").select("key", "start", "end"))
 
 
 def marked(docs: DataFrame, marks: DataFrame, apply: Callable[[bytes, np.ndarray, np.ndarray], tuple], schema: str, fields: list[tuple[str, pa.DataType]], keep: list[Column] = ()) -> DataFrame:
     """Apply merged marks to each document: ``apply(text, starts, ends)`` gives the values of ``fields``."""
-    per = marks.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
-    text = F.col("text").cast("binary")
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), F.col("doc_id").alias("shown"), text.alias("text"), *keep)
-    joined = rows.join(per.hint("shuffle_hash"), ["doc_id", "crc"], "left").drop("crc", "doc_id")
+    per = marks.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("marks"))  # bounded by the text
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").alias("shown"), F.col("text").cast("binary").alias("text"), *keep)
+    joined = rows.join(per.hint("shuffle_hash"), "key", "left").drop("key")
     rest = [c for c in joined.columns if c not in ("shown", "text", "marks")]
     names = ["doc_id", *rest, *(f for f, _ in fields)]
 
@@ -371,10 +416,9 @@ def marked(docs: DataFrame, marks: DataFrame, apply: Callable[[bytes, np.ndarray
                 own = slice(bounds[i], bounds[i + 1]) if valid[i] else slice(0, 0)
                 s, e = start[own], end[own]
                 if len(s):
-                    zero = np.zeros(len(s), np.int64)
-                    _, _, s, e = merged(zero, zero, s, e)
+                    _, s, e = merged(np.zeros(len(s), np.int64), s, e)
                 out.append(apply(content, s, e))
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)] if out else [pa.array([], t) for _, t in fields]
             yield pa.RecordBatch.from_arrays([batch.column("shown"), *(batch.column(c) for c in rest), *columns], names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(owned(run), schema)

@@ -1,10 +1,12 @@
 """Suffix-array deduplication with a run-length index.
 
 Blocks of candidate contexts (see ``repeats``) are indexed by a run-compressed Burrows-Wheeler
-transform that samples the text positions at run ends.  Only at a run's first row is the match
-with the row before compared; within a run the match of a text's next position is one shorter,
-so matching statistics stream along the text from the samples.  A position whose match with
-either neighbour is as long as the window starts a repeated window.
+transform that samples the text positions at both ends of its runs.  Only at a run's first row is
+the match with the row before compared, and at its last row that with the row after, which is the
+next run's first.  Elsewhere the match of a text's next position is one shorter, so matching
+statistics stream along the text from the samples; the suffix array is dropped once the runs are
+made.  A position whose match with either neighbour is as long as the window starts a repeated
+window.
 
 Removes every byte covered by a window of bytes that also starts anywhere else, same document
 included; windows are judged on the input and never cross documents.
@@ -33,48 +35,47 @@ class RunLengthIndex:
     """The transform's runs of a block: (unit, first row) and, for each, the sampled ends."""
 
     def __init__(self, parts: list[np.ndarray]):
-        self.block = Block(parts)
-        order, units = self.block.order, self.block.units
-        self.before = units[order - 1]  # of the first text position: the last mark
+        block = Block(parts)
+        order, units = block.order, block.units
+        before = units[order - 1]  # of the first text position: the last mark
         head = np.ones(len(order), bool)
-        head[1:] = (self.before[1:] != self.before[:-1]) | (self.before[1:] == 0)  # marks are all different
-        self.heads = np.flatnonzero(head)
-        self.symbols = self.before[self.heads]
-        self.first = order[self.heads]  # text position of each run's first row
-        self.last = order[np.append(self.heads[1:], len(order)) - 1]  # and of its last
-        above = np.where(self.heads > 0, order[self.heads - 1], order[0])
-        self.matches = np.where(self.heads > 0, self.block.common(self.first, above), 0)
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # marks are all different
+        heads = np.flatnonzero(head)
+        self.size, self.starts, self.ends = len(order), block.starts, block.ends
+        self.symbols, self.heads = before[heads], heads
+        self.first = order[heads]  # text position of each run's first row
+        self.last = order[np.append(heads[1:], len(order)) - 1]  # and of its last
+        self.up = np.zeros(len(heads), np.int64)  # match of a run's first row with the row before
+        self.up[1:] = block.common(self.first[1:], self.last[:-1])
+        self.down = np.append(self.up[1:], 0)  # of its last row with the row after
 
     def __len__(self) -> int:
         return len(self.heads)
 
+    def _streamed(self, at: np.ndarray, matches: np.ndarray) -> np.ndarray:
+        sample, value = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        sample[at], value[at] = at, matches
+        since = np.maximum.accumulate(sample)
+        return value[since] - (np.arange(self.size) - since)
+
     def statistics(self) -> np.ndarray:
         """At each text position the longest match with any other position, streamed from the samples."""
-        n = len(self.block.order)
-        sample, value = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        sample[self.first] = self.first
-        value[self.first] = self.matches
-        since = np.maximum.accumulate(sample)
-        up = value[since] - (np.arange(n) - since)  # with the row before
-        by_row = up[self.block.order]
-        down = np.empty(n, np.int64)
-        down[self.block.order] = np.append(by_row[1:], 0)  # with the row after
-        return np.maximum(np.maximum(up, down), 0)
+        return np.maximum(np.maximum(self._streamed(self.first, self.up), self._streamed(self.last, self.down)), 0)
 
 
 def repeated_starts(parts: list[np.ndarray], window: int) -> list[np.ndarray]:
     """For each context the starts of windows that occur elsewhere in the block."""
     index = RunLengthIndex(parts)
     long = index.statistics() >= window
-    return [np.flatnonzero(long[a:b]) for a, b in zip(index.block.starts, index.block.ends)]
+    return [np.flatnonzero(long[a:b]) for a, b in zip(index.starts, index.ends)]
 
 
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+def _bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
 
 
 def _units(window: int) -> Units:
-    return Units(window, max(1, window * 2 // 5), _hashed, lambda text: np.frombuffer(text, np.uint8), "u1", repeated_starts)
+    return Units(window, max(1, window * 2 // 5), _bytes, "u1", lambda units: BYTES[units], repeated_starts)
 
 
 def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:

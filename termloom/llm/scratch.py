@@ -7,11 +7,15 @@ The folder is the one named in ``spark.checkpoint.dir``.  Only where that is uns
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +49,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark, path = df.sparkSession, folder(df.sparkSession, tag)
     df.write.option("compression", "snappy").parquet(path)  # zstd's buffers outside the heap outlive many small files
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._scratch)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -54,6 +66,25 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release() -> None:
+    """Give memory back to the machine: workers outlive their tasks, and the C heap keeps freed pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def owned(run: Callable) -> Callable:
+    """A batch function whose caches end with its task."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return outer
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ class Block:
         inside[self.ends] = False
         self.units[inside] = units + 1
         self.left = np.repeat(self.ends, lengths + 1) - np.arange(n)  # units up to the mark
-        self.levels = [self.units]
+        self.levels = [self.units.astype(np.int32)]
         rank, have, longest = self.units, 1, int(lengths.max()) + 1
         self.order = np.argsort(rank, kind="stable")
         while have < longest:
@@ -34,7 +34,7 @@ class Block:
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             have *= 2
-            self.levels.append(rank)
+            self.levels.append(rank.astype(np.int32))
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at i and j, within their contexts."""
