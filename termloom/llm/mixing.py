@@ -5,7 +5,8 @@ document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with p
 equal to the fraction.
 
 Edge cases: a null text has size 0; null sources form one source, ordered last; sources without
-words get target 0 and rate 0; rows that repeat a doc_id draw the same number; an empty table
+words get target 0 and rate 0; the draw depends on doc_id, text and a number among the rows that
+are equal in both, so rows of a null or repeated doc_id draw each for themselves; an empty table
 gives an empty mix.  Further columns are carried along; the names ``size``, ``source_size``,
 ``target``, ``rate`` and ``copies`` are replaced.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import positions
+from .ordering import copy_numbers, positions
 from .scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,9 +59,14 @@ def fill_targets(sources: DataFrame, cap: int = 3) -> DataFrame:
     return sources.withColumn("target", F.when(capped, (F.col("source_size") * cap).cast("double")).otherwise(share))
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """A row's doc_id and its text's digest; rows that are equal in both share it."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the key and seed alone."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed + ":"), key).cast("binary"))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -72,7 +78,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, cap: int = 3, seed: str = "mix"
     The table of sources joins back on the source; a hot source is summed before the shuffle
     and Spark may split its rows in the join, as nothing after it needs them together.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_source")
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "_source", "_identity", "_number")
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = fill_targets(materialise(weights(materialise(sums, "sizes")), "sources"), cap)
@@ -80,8 +86,10 @@ def mix(docs: DataFrame, weights=cyclic_weights, cap: int = 3, seed: str = "mix"
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("rate"))
-    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra)
+    key = identity(F.col("doc_id"), F.col("text") if "text" in docs.columns else F.lit(""))
+    rows = copy_numbers(joined.withColumns({"rate": rate, "_identity": key}), F.col("_identity"), "_number")
+    extra = (draw(F.concat_ws(":", "_identity", "_number"), seed) < F.col("rate") - whole).cast("long")
+    return rows.withColumn("copies", whole + extra).drop("_identity", "_number")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

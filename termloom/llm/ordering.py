@@ -33,3 +33,22 @@ def positions(df: DataFrame, order: list[Column], total: str | None = None, tag:
         inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn("upto", F.col("_sum_before") + F.sum(total).over(inside))
     return out.drop("_at", "_part", "_row", "_rows_before", "_sum_before")
+
+
+def copy_numbers(df: DataFrame, key: Column, name: str = "_copy") -> DataFrame:
+    """Add ``name``: 0, 1, ... over the rows of an equal key, in any order.
+
+    Keys are counted first; only rows whose key repeats are moved.  They are numbered by rank
+    offsets, so a key that a third of all rows share is split like any other.
+    """
+    keyed = df.withColumn("_key", key)
+    repeated = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    repeated = materialise(repeated, "repeated-keys")
+    if repeated.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    alone = keyed.join(repeated, "_key", "left_anti").withColumn(name, F.lit(0).cast("long"))
+    several = materialise(keyed.join(repeated, "_key", "left_semi").withColumn("_id", F.monotonically_increasing_id()), "repeated-rows")
+    ranked = materialise(positions(several, [F.col("_key"), F.col("_id")], tag="repeated-order"), "repeated-ranks")
+    first = materialise(ranked.groupBy("_key").agg(F.min("pos").alias("_first")), "repeated-first")
+    ranked = ranked.join(first, "_key").withColumn(name, F.col("pos") - F.col("_first"))
+    return alone.select(*df.columns, name).unionByName(ranked.select(*df.columns, name))

@@ -58,7 +58,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
@@ -77,7 +78,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix:' || d.key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,
