@@ -13,7 +13,8 @@ query set against all rows, in blocks.  Each meeting returns at most k rows a qu
 Edge cases: vectors that are null or empty of id, or that hold null or non-finite components,
 take no part; shorter vectors count as filled with zeros; rows that repeat a vec_id are rows of
 their own; fewer candidates than k give all; ties go to the smaller vec_id; other columns do not
-matter.
+matter.  Products that a double can't hold exactly (lengths whose product reaches 2^53) are
+summed in whole numbers of any size; scores beyond a long are held at its ends, and tie there.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ STEP = 512
 #: Share of the squared length that the leading coordinates keep, at least.
 LEAD = 0.5
 SLACK = 1e-6
+#: Below this product of lengths every partial sum of an inner product is exact in a double.
+EXACT = float(1 << 53) * (1 - 1e-9)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -84,8 +88,8 @@ def rotation(vectors: DataFrame) -> tuple[np.ndarray, int]:
     return turn, min(size, int(np.searchsorted(share, LEAD)) + 1)
 
 
-def blocks(vectors: DataFrame, count: int, order: list[Column], tag: str) -> DataFrame:
-    """Pack sorted vectors: (block, longest, ids, rows, matrix)."""
+def blocks(vectors: DataFrame, count: int, order: list[Column], tag: str, **more: Column) -> DataFrame:
+    """Pack sorted vectors: (block, longest, ids, rows, matrix) and the columns ``more``."""
     n = partitions(vectors.sparkSession)
     cut = vectors.repartitionByRange(n, *order).sortWithinPartitions(*order).select("vec_id", "row", "length2", "vector")
 
@@ -107,7 +111,21 @@ def blocks(vectors: DataFrame, count: int, order: list[Column], tag: str) -> Dat
             yield flush(len(ids))
 
     packed = cut.mapInArrow(run, "longest double, ids binary, rows binary, matrix binary")
-    return materialise(packed.withColumn("block", F.monotonically_increasing_id()), tag)
+    return materialise(packed.withColumns({"block": F.monotonically_increasing_id()} | more), tag)
+
+
+def products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs as longs, exact up to the range of a long."""
+    out = np.empty(len(i), np.int64)
+    q_length, c_length = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (q, c))
+    large = q_length[i] * c_length[j] >= EXACT
+    small = np.flatnonzero(~large)
+    for s in range(0, len(small), 8192):
+        at = small[s : s + 8192]
+        out[at] = np.einsum("ij,ij->i", q[i[at]], c[j[at]])
+    for at in np.flatnonzero(large).tolist():
+        out[at] = min(MOST, max(LEAST, sum(int(x) * int(y) for x, y in zip(q[i[at]].tolist(), c[j[at]].tolist()))))
+    return out
 
 
 def meet(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_ids: np.ndarray, c_rows: np.ndarray, floor: np.ndarray, turn: np.ndarray, lead: int, k: int):
@@ -115,7 +133,8 @@ def meet(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_ids: np.ndarray, c_
     qr, cr = q @ turn, c @ turn
     q_rest, c_rest = (np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x[:, lead:], x[:, lead:]))) for x in (qr, cr))
     best = np.repeat(floor[:, None], k, axis=1)
-    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    exact = np.sqrt(np.einsum("ij,ij->i", q, q).max(initial=0) * np.einsum("ij,ij->i", c, c).max(initial=0)) < EXACT
     for at in range(0, len(c), STEP):
         to = min(len(c), at + STEP)
         bound = qr[:, :lead] @ cr[at:to, :lead].T + q_rest[:, None] * c_rest[None, at:to]
@@ -124,13 +143,13 @@ def meet(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_ids: np.ndarray, c_
         if not len(i):
             continue
         j = j + at
-        if len(i) > 0.05 * len(q) * (to - at):
-            score = (q @ c[at:to].T)[i, j - at]
+        if exact and len(i) > 0.05 * len(q) * (to - at):
+            score = (q @ c[at:to].T)[i, j - at].astype(np.int64)
         else:
-            score = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 8192]], c[j[s : s + 8192]]) for s in range(0, len(i), 8192)])
-        keep = score >= least[i]
+            score = products(q, c, i, j)
+        keep = score >= least[i] - (0 if exact else SLACK * (1 + np.abs(least[i])))
         i, j, score = (np.concatenate([old, new[keep]]) for old, new in zip(found, (i, j, score)))
-        order = np.lexsort((c_ids[j], -score, i))
+        order = np.lexsort((c_ids[j], ~score, i))  # of longs: falling without overflow
         i, j, score = i[order], j[order], score[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         found = i, j, score = tuple(x[rank < k] for x in (i, j, score))
@@ -149,7 +168,7 @@ def _meetings(pairs: DataFrame, turn: np.ndarray, lead: int, k: int) -> DataFram
                 q, c = np.frombuffer(q_matrix, "<f8").reshape(len(qi), -1), np.frombuffer(matrix, "<f8").reshape(len(ci), -1)
                 low = np.full(len(qi), -np.inf) if floor is None else np.frombuffer(floor, "<f8")
                 i, j, score = meet(q, qn, c, ci, cn, low, turn, lead, k)
-                for held, values in zip(out, (qn[i], qi[i], ci[j], score.astype(np.int64))):
+                for held, values in zip(out, (qn[i], qi[i], ci[j], score)):
                     held.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_row", "query_id", "vec_id", "score"])
@@ -167,15 +186,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     whole = integers(vectors, scale)
     turn, lead = rotation(whole)
     candidates = blocks(whole, CANDIDATES, [F.desc("length2"), F.asc("vec_id"), F.asc("row")], "candidates")
-    queries = blocks(whole.where(is_query), QUERIES, [F.desc("length2"), F.asc("vec_id"), F.asc("row")], "queries")
     numbered = candidates.select("block", "longest").orderBy(F.desc("longest"), "block").limit(1).collect()
-    asked = queries.select(F.col("block").alias("q"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"))
+    top = int(numbered[0]["block"]) if numbered else 0
+    queries = blocks(whole.where(is_query), QUERIES, [F.desc("length2"), F.asc("vec_id"), F.asc("row")], "queries", top=F.lit(top).cast("long"))
+    asked = queries.select(F.col("block").alias("q"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"), "top")
     if not numbered:
         return asked.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).where("false")
-    top = int(numbered[0]["block"])
     arrays = ["q_ids", "q_rows", "q_matrix", "floor", "ids", "rows", "matrix"]
     # the longest block first: its k-th scores are the floors of all that follow
-    first = asked.withColumn("block", F.lit(top)).join(candidates, "block").withColumn("floor", F.lit(None).cast("binary"))
+    longest = F.broadcast(candidates.where(F.col("block") == top))  # one block, of CANDIDATES vectors at most
+    first = asked.withColumnRenamed("top", "block").join(longest, "block").withColumn("floor", F.lit(None).cast("binary"))
     seed = materialise(_meetings(first.select(arrays), turn, lead, k), "seed")
     floors = _best(seed, k).where(F.col("rank") == k).select("query_row", F.col("score").alias("low"))
     asked = materialise(_with_floors(asked, floors), "floors")
