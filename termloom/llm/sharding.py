@@ -62,8 +62,11 @@ def _summary(groups: DataFrame, spans: list[tuple[int, int]]) -> list[tuple[int,
         (a, b), = spans
         rows = groups.where((F.col("upto") > a) & (F.col("upto") <= b)).groupBy(F.floor((F.col("upto") - 1 - a) / width).alias("k"))
     else:
-        inside = groups.select("upto", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(spans)])).alias("s"))
-        inside = inside.where((F.col("upto") > F.col("s.a")) & (F.col("upto") <= F.col("s.b")))
+        # the last span that begins before a sum is the only one that can hold it: no row is multiplied
+        begun = F.size(F.filter(F.array(*[F.lit(a) for a, _ in spans]), lambda a: a < F.col("upto")))
+        bounds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(spans)])
+        inside = groups.select("upto", begun.alias("n")).where("n > 0").select("upto", F.element_at(bounds, F.col("n")).alias("s"))
+        inside = inside.where(F.col("upto") <= F.col("s.b"))
         rows = inside.groupBy(F.col("s.i").alias("i"), F.floor((F.col("upto") - 1 - F.col("s.a")) / width).alias("k"))
     got = rows.agg(F.min("upto").alias("low"), F.max("upto").alias("high")).select("low", "high").collect()
     return sorted((int(r[0]), int(r[1])) for r in got)
