@@ -6,16 +6,16 @@ anchors at equal places, and consecutive windows share one.  An anchor's windows
 a stretch of text, and its content is named by 128 bits of XXH3.  Then
 
 1. anchors are counted, and contexts of anchors that occur once are gone;
-2. of each content one place, or two if it occurs more often, are fetched and gathered by anchor
-   into blocks of bounded size; the operator's own index says which of a block's windows occur
-   elsewhere in it;
-3. a content that occurs more often, and that its index found to be repeated as a whole, is marked
-   at all of its places, so copies are never expanded into the index.
+2. one place of each content of an anchor that has several is fetched into the anchor's block, and
+   the operator's own index says which of a block's windows occur elsewhere in it;
+3. of a content that occurs more often two places are fetched, contexts that follow on each other
+   in both as one stretch, and the same index has to find all of its windows; then the content is
+   marked at all of its places, so copies are never expanded into the index.
 
 An anchor with more than ``HOT`` different contents would make an unbounded block.  Its contexts
-are cut into their windows, each a context of its own named by its own content, of which again
-two places are fetched; the key is finer, the index and its answer are the same.  Hashes only
-choose what the index compares: unequal contents may meet there, equal ones always do.
+are cut into their windows, each a content of its own, and go by step 3; the key is finer, the
+index and its answer are the same.  Hashes only choose what the index compares: unequal contents
+may meet there, equal ones always do.
 
 Windows are judged on the whole input.  Texts longer than ``PIECE`` units are hashed in pieces
 that overlap by a window, which changes no window's anchor.  Rows are told apart by 128 bits of
@@ -40,7 +40,7 @@ from .scratch import materialise, owned, partitions
 PIECE = 1 << 18
 #: Different contents of an anchor that are still compared in one block.
 HOT = 256
-#: Units of a block, about; an anchor adds at most 2 * HOT contexts.
+#: Units of a block, about; an anchor adds at most HOT contexts, a pair of texts two stretches of 2^15 units and a context.
 BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Where a context is: its row, its first unit and its number of windows; ordered as bytes.
@@ -230,25 +230,39 @@ def _contents(rows: DataFrame) -> DataFrame:
     return rows.groupBy("c1", "c2").agg(F.min("anchor").alias("anchor"), F.sum("n").alias("n"), F.min(low).alias("low"), F.max(high).alias("high"))
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """(block, c1, c2, single, place): one row per content, two if it occurs twice or more."""
-    both = F.when((F.col("n") > 1) & (F.col("low") != F.col("high")), F.array("low", "high")).otherwise(F.array("low"))
-    return rows.select("block", "c1", "c2", (F.col("n") == 1).alias("single"), F.explode(both).alias("place"))
+#: What a member of a block is for: to be marked itself, to prove that its content is repeated, or to be matched by others.
+ALONE, PROOF, OTHER = 0, 1, 2
 
 
 def _number(part: Column) -> Column:
     return F.conv(F.hex(part), 16, 10).cast("long")
 
 
+def _start(place: Column) -> Column:
+    return _number(F.substring(place, 17, 8))
+
+
+def _of_anchors(rows: DataFrame) -> DataFrame:
+    """A member per content of an anchor, in the anchor's block."""
+    return rows.select(F.col("anchor").alias("block"), "c1", "c2", F.when(F.col("n") == 1, ALONE).otherwise(OTHER).alias("use"), F.col("low").alias("place"))
+
+
+def _proofs(rows: DataFrame, level: int) -> DataFrame:
+    """Two members per content that occurs twice: copies of one stretch share a block, and are fetched as one stretch."""
+    pair = F.xxhash64(F.lit(level), F.substring("low", 1, 16), F.substring("high", 1, 16), F.shiftright(_start(F.col("low")), 15))
+    both = F.explode(F.array_distinct(F.array("low", "high"))).alias("place")
+    return rows.where("n > 1").select(pair.alias("block"), "c1", "c2", F.lit(PROOF).alias("use"), both)
+
+
 def _wanted(members: DataFrame) -> DataFrame:
     """The places wanted of each row of the sources, gathered: bounded by the row's own text."""
-    at = F.struct("block", "c1", "c2", "single", _number(F.substring("place", 17, 8)).alias("start"), _number(F.substring("place", 25, 4)).alias("windows"))
+    at = F.struct("block", "c1", "c2", F.col("use").cast("long").alias("use"), _start(F.col("place")).alias("start"), _number(F.substring("place", 25, 4)).alias("windows"))
     return members.select(F.substring("place", 1, 16).alias("key"), at.alias("at")).groupBy("key").agg(F.collect_set("at").alias("wanted"))
 
 
-FETCHED = pa.schema([
-    ("block", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("single", pa.bool_()), ("key", pa.binary()), ("start", pa.int64()), ("windows", pa.int64()), ("units", pa.binary()),
-])
+#: The contexts of a fetched stretch.
+ITEM = np.dtype([(c, "<i8") for c in ("c1", "c2", "use", "start", "windows")])
+FETCHED = pa.schema([("block", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("units", pa.binary()), ("items", pa.binary())])
 
 
 def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -258,31 +272,38 @@ def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _fetch(sources: DataFrame, members: DataFrame, units: Units) -> DataFrame:
-    """FETCHED rows: the units of the wanted contexts."""
+    """FETCHED rows: the units of the wanted contexts, those of a block that follow on each other as one stretch."""
     joined = sources.join(_wanted(members).hint("shuffle_hash"), "key")
 
     def run(batches):
         for batch in batches:
-            keys, (bounds, (block, c1, c2, single, start, windows)) = batch.column("key").to_pylist(), _lists(batch)
+            keys, (bounds, columns) = batch.column("key").to_pylist(), _lists(batch)
             rows, held = [], 0
             for i, text in enumerate(_texts(batch)):
+                own = [c[bounds[i] : bounds[i + 1]] for c in columns]
+                order = np.lexsort((own[4], own[0]))
+                block, items = own[0][order], np.empty(len(order), ITEM)
+                for name, values in zip(ITEM.names, own[1:]):
+                    items[name] = values[order]
+                follow = (block[1:] == block[:-1]) & (items["start"][1:] == items["start"][:-1] + items["windows"][:-1])
+                head = np.concatenate([[0], np.flatnonzero(~follow) + 1, [len(order)]])
                 found = units.units([text])[0]
-                for j in range(bounds[i], bounds[i + 1]):
-                    s, n = int(start[j]), int(windows[j])
-                    rows.append((block[j], c1[j], c2[j], single[j], keys[i], s, n, found[s : s + n + units.window - 1].tobytes()))
-                    held += len(rows[-1][-1])
+                for a, b in zip(head[:-1].tolist(), head[1:].tolist()):
+                    s, e = int(items["start"][a]), int(items["start"][b - 1] + items["windows"][b - 1]) + units.window - 1
+                    rows.append((block[a], keys[i], s, found[s:e].tobytes(), items[a:b].tobytes()))
+                    held += len(rows[-1][3])
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FETCHED.types)], schema=FETCHED)
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FETCHED.types)], schema=FETCHED)
 
-    return joined.mapInArrow(owned(run), "block long, c1 long, c2 long, single boolean, key binary, start long, windows long, units binary")
+    return joined.mapInArrow(owned(run), "block long, key binary, start long, units binary, items binary")
 
 
 def _cut(sources: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
     """CONTEXTS of the single windows of hot contents."""
-    joined = sources.join(_wanted(_members(rows.withColumn("n", F.lit(1)))).hint("shuffle_hash"), "key")
+    joined = sources.join(_wanted(_of_anchors(rows)).hint("shuffle_hash"), "key")
 
     def run(batches):
         for batch in batches:
@@ -306,7 +327,7 @@ FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("whole", pa.bool_())
 
 
 def _compared(fetched: DataFrame, units: Units) -> DataFrame:
-    """FOUND rows, from the operator's index over blocks of whole anchors.
+    """FOUND rows, from the operator's index over whole blocks.
 
     Stretches (key, start, end) that repeated windows cover, of contents that occur once; and the
     contents (c1, c2) that occur more often, if the index found all of their windows (``whole``).
@@ -315,13 +336,19 @@ def _compared(fetched: DataFrame, units: Units) -> DataFrame:
     window, kind = units.window, np.dtype(units.kind)
 
     def indexed(rows: list[tuple]) -> pa.RecordBatch | None:
-        starts, out = units.matcher([np.frombuffer(r[7], kind) for r in rows], window), []
-        for (_, c1, c2, single, key, start, windows, _), own in zip(rows, starts):
-            if not single and len(own) == windows:
-                out.append((c1, c2, True, None, None, None))
-            elif len(own):
-                cut = np.flatnonzero(own[1:] > own[:-1] + window)
-                for a, b in zip(own[np.concatenate([[0], cut + 1])].tolist(), own[np.append(cut, len(own) - 1)].tolist()):
+        starts, out = units.matcher([np.frombuffer(r[3], kind) for r in rows], window), []
+        for (_, key, start, _, packed), own in zip(rows, starts):
+            if not len(own):
+                continue
+            items = np.frombuffer(packed, ITEM)
+            first = np.searchsorted(own, items["start"] - start)
+            last = np.searchsorted(own, items["start"] - start + items["windows"])
+            for k in np.flatnonzero((items["use"] == PROOF) & (last - first == items["windows"])).tolist():
+                out.append((int(items["c1"][k]), int(items["c2"][k]), True, None, None, None))
+            for k in np.flatnonzero((items["use"] == ALONE) & (last > first)).tolist():
+                part = own[first[k] : last[k]]
+                cut = np.flatnonzero(part[1:] > part[:-1] + window)
+                for a, b in zip(part[np.concatenate([[0], cut + 1])].tolist(), part[np.append(cut, len(part) - 1)].tolist()):
                     out.append((None, None, False, key, start + a, start + b + window))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND) if out else None
 
@@ -335,11 +362,11 @@ def _compared(fetched: DataFrame, units: Units) -> DataFrame:
                         if (got := indexed(rows)) is not None:
                             yield got
                         rows, held = [], 0
-                same = times.get(row[4:6], 0)
+                same = times.get(row[1:3], 0)
                 if same < 2:  # a third equal row adds nothing to the block
-                    times[row[4:6]] = same + 1
+                    times[row[1:3]] = same + 1
                     rows.append(row)
-                    held += len(row[7]) // kind.itemsize
+                    held += len(row[3]) // kind.itemsize
         if rows and (got := indexed(rows)) is not None:
             yield got
 
@@ -383,16 +410,17 @@ def repeated(docs: DataFrame, units: Units) -> DataFrame:
     busy = materialise(busy_anchors(docs, units), "anchors")
     kept = materialise(contexts(sources, units).join(busy, "anchor"), "contexts")  # a hot anchor may be split here
     known = materialise(_contents(kept), "contents")
-    hot = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    hot = materialise(hot, "hot")
-    members = known.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # anchors with different contents; the others' contents have copies and need proof alone
+    mixed_ = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", (F.col("_n") > HOT).alias("hot"))
+    mixed_ = materialise(mixed_, "mixed-anchors")
+    met = known.join(mixed_, "anchor")
+    members = _proofs(known, 1).unionByName(_of_anchors(met.where("not hot")))
     several = kept.select("c1", "c2", "places")
-    cool = _members(members.where("not hot or n > 1").withColumn("block", F.when(F.col("hot"), F.col("c1")).otherwise(F.col("anchor"))))
-    if not hot.isEmpty():
-        cut = materialise(_cut(sources, members.where("hot").withColumn("block", F.col("c1")), units), "windows")
-        cool = cool.unionByName(_members(_contents(cut).where("n > 1").withColumn("block", F.col("c1"))))
+    if not mixed_.where("hot").isEmpty():
+        cut = materialise(_cut(sources, met.where("hot"), units), "windows")
+        members = members.unionByName(_proofs(_contents(cut), 2))
         several = several.unionByName(cut.select("c1", "c2", "places"))
-    found = materialise(_compared(_fetch(sources, cool, units), units), "found")
+    found = materialise(_compared(_fetch(sources, members, units), units), "found")
     whole = materialise(found.where("whole").select("c1", "c2").distinct(), "whole")
     everywhere = several.join(whole, ["c1", "c2"])  # so may a hot content
     return _unpacked(everywhere, units.window).unionByName(found.where("not whole").select("key", "start", "end"))
