@@ -6,14 +6,20 @@ is fitted by maximum likelihood on code-switched sequences dealt from labelled d
 marginals come from forward-backward.  A document's language is the one with the most marginal
 mass over its words, the score that mass over the number of words.
 
-The fit uses a bounded sample: about ``sample`` documents of each label, drawn by a hash of the
-doc_id in one pass, and ``window`` words of each at a hashed place.  Prediction reads all words
-of all texts and neither doc_id nor any other column.
+The fit uses a bounded sample: about ``sample`` documents of each label (``rows`` in all, but one
+of each label), drawn by a hash of the doc_id in one pass, with all their words.  The lexicon of
+a label is its ``LEXICON`` most frequent words in the sample.  Any number of labels can be
+learned; the model and its cost grow with it.  Prediction reads all words of all texts and
+neither doc_id nor any other column.
+
+Chains of any length are labelled as wholes: long ones are walked in pieces of ``CHAIN`` words,
+all at once, and the messages of forward-backward are carried over the cuts, so that the cuts
+change no marginal.
 
 Edge cases: a null text, one without letters, or any text if nothing is labelled, is ``und``
-with score 0; words without letters are passed over; chains of more than ``CHAIN`` words are
-labelled in pieces; ties go to the first label by code point; repeated rows are rows of their
-own and get equal answers; an empty table gives an empty result; null labels teach nothing.
+with score 0; words without letters are passed over; ties go to the first label by code point;
+repeated rows are rows of their own and get equal answers; an empty table gives an empty result;
+null labels teach nothing.
 """
 
 from __future__ import annotations
@@ -24,19 +30,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import owned
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Words kept with their scores by each worker: its memory bound.
-CACHE = 300_000
-#: Words of a chain.
-CHAIN = 1 << 15
+#: Bytes of words that a task keeps with their scores.
+CACHE = 24 << 20
+#: Words of a chain that are walked one after the other.
+CHAIN = 1 << 11
 #: Characters of text that are labelled together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 LEXICON = 500
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 6, 0.3
 
@@ -47,7 +54,7 @@ def _mix(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def features(words: list[str], lexicon: dict[str, int], labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, feature, value) of hashed affix and n-gram features and of lexicon flags."""
     n = len(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
@@ -70,10 +77,9 @@ def features(words: list[str], lexicon: dict[str, int], labels: int) -> tuple[np
         head = [padded[s + i] if i < k else np.zeros(len(w), np.uint32) for i in range(3)]
         tail = [padded[e - 1 - i] if i < k else np.zeros(len(w), np.uint32) for i in range(3)]
         parts += [(w, _mix(10 + k, *head), np.ones(len(w))), (w, _mix(20 + k, *tail), np.ones(len(w)))]
-    flags = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, n)
-    for k in range(labels):
-        w = np.flatnonzero(flags >> k & 1)
-        parts.append((w, np.full(len(w), BUCKETS + k), np.ones(len(w))))
+    own = [lexicon.get(w, ()) for w in words]
+    sizes = np.fromiter(map(len, own), np.int64, n)
+    parts.append((np.repeat(every, sizes), BUCKETS + np.fromiter((k for x in own for k in x), np.int64, int(sizes.sum())), np.ones(int(sizes.sum()))))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -85,11 +91,11 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
     first: np.ndarray
-    lexicon: dict[str, int] = field(default_factory=dict)
+    lexicon: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)))
-        word, feature, value = features(words, self.lexicon, len(self.labels))
+        word, feature, value = features(words, self.lexicon)
         for k in range(len(self.labels)):
             out[:, k] = np.bincount(word, value * self.weights[feature, k], len(words))
         return out
@@ -103,23 +109,29 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
     """Posterior label probabilities by forward-backward, all chains in step.
 
     ``scores`` has the chains' words in time order: first all first words, longest chain first,
-    and so on; ``lengths`` falls.
+    and so on; ``lengths`` falls.  ``before`` and ``after`` are the messages into each chain, if
+    it is a piece of a longer one: from its left in place of ``first``, and from its right.
     """
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains longer than t
     at = np.concatenate([[0], np.cumsum(active)])
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
     move = np.exp(moves - moves.max())
+    enter = np.exp(first - first.max()) if before is None else before
     forward = np.empty_like(emit)
     for t in range(steps):
         n, here = active[t], slice(at[t], at[t + 1])
-        a = emit[here] * (np.exp(first - first.max()) if t == 0 else forward[at[t - 1] : at[t - 1] + n] @ move)
+        a = emit[here] * (enter if t == 0 else forward[at[t - 1] : at[t - 1] + n] @ move)
         forward[here] = a / a.sum(axis=1, keepdims=True)
-    back = np.ones((len(lengths), len(first)))
+    back = np.ones((len(lengths), len(first))) if after is None else after.copy()
     for t in range(steps - 1, -1, -1):
         n, here = active[t], slice(at[t], at[t + 1])
         b = back[:n]
@@ -131,24 +143,48 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first:
     return forward
 
 
-def _grams(docs: list[tuple[str, list[str]]], labels: list[str], seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray, dict[str, int]]:
+def carried(pieces: list[np.ndarray], moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages into each piece of one chain, from its left and from its right.
+
+    A piece acts on messages as a matrix, the product over its words; the pieces' matrices are
+    made in step, and only their products are taken one after the other.
+    """
+    size, move = len(first), np.exp(moves - moves.max())
+    acts = np.repeat(np.eye(size)[None], len(pieces), axis=0)
+    lengths = np.array([len(p) for p in pieces])
+    for t in range(int(lengths.max())):
+        live = np.flatnonzero(lengths > t)
+        score = np.stack([pieces[k][t] for k in live])
+        acts[live] = (acts[live] if t == 0 else acts[live] @ move) * np.exp(score - score.max(axis=1, keepdims=True))[:, None, :]
+        acts[live] /= acts[live].max(axis=(1, 2), keepdims=True)
+    left, right = np.empty((len(pieces), size)), np.ones((len(pieces), size))
+    left[0] = np.exp(first - first.max())
+    for k in range(1, len(pieces)):
+        left[k] = _unit(_unit(left[k - 1] @ acts[k - 1]) @ move)
+    for k in range(len(pieces) - 1, 0, -1):
+        right[k - 1] = _unit(move @ (acts[k] @ right[k]))
+    return left, right
+
+
+def _grams(docs: list[tuple[str, list[str]]], labels: list[str], seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray, dict[str, tuple[int, ...]]]:
     """Words, code-switched sequences of word numbers with their labels, and the lexicon."""
     counts = {x: Counter() for x in labels}
     for label, words in docs:
         counts[label].update(words)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for k, label in enumerate(labels):
         for word, _ in sorted(counts[label].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            lexicon[word] = lexicon.get(word, 0) | 1 << k
+            lexicon[word] = (*lexicon.get(word, ()), k)
     words = sorted(set().union(*counts.values()))
     number = {w: i for i, w in enumerate(words)}
     rng = np.random.default_rng(seed)
     pieces: dict[int, list[np.ndarray]] = {k: [] for k in range(len(labels))}
+    place = {label: k for k, label in enumerate(labels)}
     for label, doc in docs:
         ids, at = np.array([number[w] for w in doc], np.int64), 0
         while at < len(ids):
             step = int(rng.integers(4, 2 * SEQUENCE))
-            pieces[labels.index(label)].append(ids[at : at + step])
+            pieces[place[label]].append(ids[at : at + step])
             at += step
     flow = [(k, p) for k, own in pieces.items() for p in own]
     # each label has a like share of the words, so that none is preferred for its number
@@ -175,7 +211,7 @@ def fit(docs: list[tuple[str, list[str]]]) -> Model:
     size = len(labels)
     words, ids, gold, lexicon = _grams([d for d in docs if d[1]], labels)
     model = Model(labels, np.zeros((BUCKETS + size, size)), np.zeros((size, size)), np.zeros(size), lexicon)
-    word, feature, value = features(words, lexicon, size)
+    word, feature, value = features(words, lexicon)
     order = np.argsort(word, kind="stable")
     word, feature, value = word[order], feature[order], value[order]
     ends = np.searchsorted(word, np.arange(len(words) + 1))
@@ -226,34 +262,29 @@ def _expected(scores: np.ndarray, post: np.ndarray, n: int, model: Model) -> np.
     return total
 
 
-def train(docs: DataFrame, learn: Column, sample: int = 400, window: int = 200, most_labels: int = 200) -> Model | None:
+def train(docs: DataFrame, learn: Column, sample: int = 160, rows: int = 16_000) -> Model | None:
     """Fit on a bounded sample of the rows that ``learn`` allows; None if nothing is labelled.
 
-    ``sample`` documents of each label and ``window`` words of each are the bound on what
-    reaches the driver, whatever the input.
+    The bound on what reaches the driver, whatever the input: about ``sample`` documents of each
+    label, ``rows`` in all, but one of each label.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_labels + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    if len(counts) > most_labels:
-        raise ValueError(f"more than {most_labels} labels")
+    each = max(1, min(sample, rows // len(counts)))
     # a threshold on the hash draws the sample in one pass, without a shuffle
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     drawn = known.where(place < share[F.col("lang")]).select("lang", "text")
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [w for w in map(normal, text.split()) if len(w) <= 40 and has_letter(w)]
-                start = xxhash.xxh64_intdigest(text) % max(1, len(words) - window + 1)
-                rows.append((lang, words[start : start + window]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["lang", "words"])
-
-    rows = sorted({(r["lang"], tuple(r["words"])) for r in drawn.mapInArrow(cut, "lang string, words array<string>").collect()})
-    docs_ = [(lang, list(words)) for lang, words in rows if words]
+            words = [[w for w in map(normal, text.split()) if has_letter(w)] for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["lang", "words"])
+
+    got = sorted({(r["lang"], tuple(r["words"])) for r in drawn.mapInArrow(cut, "lang string, words array<string>").collect()})
+    docs_ = [(lang, list(words)) for lang, words in got if words]
     return fit(docs_) if docs_ else None
 
 
@@ -269,10 +300,11 @@ class _Rows(dict):
 
 
 class Labeller:
-    """Labels texts with a model; the scores of the first CACHE words are kept."""
+    """Labels texts with a model; the scores of the first words met are kept, CACHE bytes of them."""
 
     def __init__(self, model: Model):
         self.model, self.known, self.kept = model, _Rows(), np.zeros((0, len(model.labels)))
+        self.size = 0
 
     def scored(self, texts: list[str | None]) -> list[np.ndarray]:
         """Scores of each text's words that have letters, new words scored together."""
@@ -284,18 +316,27 @@ class Labeller:
             parts = [self.model.scores(list(map(normal, lettered[i : i + 20_000]))) for i in range(0, len(lettered), 20_000)]
             table = np.concatenate([table, *parts])
             known.rare = dict.fromkeys(missing, -1) | dict(zip(lettered, range(len(self.kept), len(table))))
-            if len(table) <= CACHE:
+            size = self.size + sum(map(len, missing)) + len(missing) * 200 + 8 * (table.size - self.kept.size)
+            if size <= CACHE:
                 known.update(known.rare)
-                self.kept = table
+                self.kept, self.size = table, size
         out = []
         for words in split:
             rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             out.append(table[rows[rows >= 0]])
+        known.rare = {}
         return out
 
     def posteriors(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Marginals of every word, from the texts' scores."""
-        chains = [(i, s[a : a + CHAIN]) for i, s in enumerate(texts) for a in range(0, len(s), CHAIN)]
+        chains, enter, leave = [], [], []
+        for i, s in enumerate(texts):
+            pieces = [s[a : a + CHAIN] for a in range(0, len(s), CHAIN)]
+            if pieces:
+                left, right = carried(pieces, self.model.moves, self.model.first) if len(pieces) > 1 else (self._start(), np.ones((1, s.shape[1])))
+                chains += [(i, p) for p in pieces]
+                enter.append(left)
+                leave.append(right)
         out: list[list[np.ndarray]] = [[] for _ in texts]
         order = sorted(range(len(chains)), key=lambda k: -len(chains[k][1]))
         lengths = np.array([len(chains[k][1]) for k in order], np.int64)
@@ -304,12 +345,17 @@ class Labeller:
         time = np.arange(len(flat)) - np.repeat(begin, lengths)
         by_time = np.argsort(time, kind="stable")
         post = np.empty_like(flat)
-        post[by_time] = marginals(flat[by_time], lengths, self.model.moves, self.model.first)
+        if order:
+            messages = (np.concatenate(x)[order] for x in (enter, leave))
+            post[by_time] = marginals(flat[by_time], lengths, self.model.moves, self.model.first, *messages)
         got = dict(zip(order, np.split(post, begin[1:]) if len(order) else []))
         for k, (i, _) in enumerate(chains):
             out[i].append(got[k])
         return [np.concatenate(x) if x else np.zeros((0, len(self.model.labels))) for x in out]
 
+    def _start(self) -> np.ndarray:
+        return np.exp(self.model.first - self.model.first.max())[None]
+
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """(language, score) of each text."""
         held, size = [], 0
@@ -345,7 +391,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             got = list(labeller.label(batch.column(text).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(owned(run), schema)
 
 
 def label_words(texts: list[str | None], model: Model) -> list[list[tuple[str, str, float]]]:

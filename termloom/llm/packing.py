@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import positions
-from .scratch import materialise
+from .scratch import materialise, owned
 
 assert sys.byteorder == "little"
 CAPACITY = 4096
 END = 1
-#: Words kept with their ids by each worker; the memory bound of the cache.
-CACHE = 600_000
+#: Bytes of words and ids that a worker keeps, over its tasks: half of its work is in words met before.
+CACHE = 24 << 20
 #: Bytes of text whose new words are tokenized together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: Lower-case letters of one code point, and a mark that stands alone after them.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 #: Longer words, in bytes, are tokenized each time.
@@ -70,6 +70,7 @@ class _Known(dict):
     def __init__(self):
         super().__init__()
         self.rare: dict[bytes, bytes] = {}
+        self.size = 0
 
     def __missing__(self, word: bytes) -> bytes:
         return self.rare[word]
@@ -77,7 +78,7 @@ class _Known(dict):
 
 @lru_cache(maxsize=2)
 def _known(path: str) -> _Known:
-    """Kept over a worker's tasks."""
+    """Kept over a worker's tasks, CACHE bytes of them."""
     return _Known()
 
 
@@ -109,8 +110,10 @@ class WordIds:
         got = tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
         found.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(odd, got))
         known.rare = found
-        if len(known) < CACHE:
-            known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
+        if known.size < CACHE:
+            short = {w: ids for w, ids in found.items() if len(w) <= LONG}
+            known.update(short)
+            known.size += sum(map(len, short)) + sum(map(len, short.values())) + 200 * len(short)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text; pass texts of about GROUP bytes together."""
@@ -121,6 +124,7 @@ class WordIds:
         end, of = END.to_bytes(4, "little"), self.known.__getitem__
         for words in split:
             yield b"".join(map(of, words)) + end
+        self.known.rare = {}
 
 
 def grouped(values: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -154,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, PIECES.types)], schema=PIECES)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(owned(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Gaps:

@@ -26,7 +26,7 @@ import math
 import struct
 import uuid
 from collections import OrderedDict
-from functools import lru_cache
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -36,8 +36,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .ordering import positions
-from .scratch import file_path, folder, materialise, open_file, partitions
+from .mixing import identity
+from .ordering import copy_numbers, positions
+from .scratch import file_path, folder, materialise, open_file, owned, partitions
 
 SEED = 42
 #: Fingerprints in a tile, about.
@@ -119,7 +120,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
-    """(doc_id, fp, wide, node, place) of the sets of shingles; a node is a set, a place its packed text in ``home``."""
+    """(doc_id, row, fp, wide, node, place) of the sets of shingles; a node is a set, a place its packed text in ``home``."""
 
     def run(batches):
         name, at, out, codec = uuid.uuid4().hex, 0, None, pa.Codec("zstd")
@@ -129,7 +130,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
                 fs.create_dir(file_path(home))
                 out = fs.open_output_stream(file_path(f"{home}/{name}"), compression=None)
             fps, wides, nodes, places = [], [], [], []
-            for t in _texts(batch.column(1)):
+            for t in _texts(batch.column(2)):
                 h, packed = shingle_set(t, shingle), codec.compress(t, asbytes=True)
                 fp, wide = wide_fingerprint(h)
                 out.write(packed)
@@ -139,16 +140,30 @@ def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
                 places.append(struct.pack(PLACE, name.encode(), at, len(packed), len(t)))
                 at += len(packed)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            columns = [batch.column(0), signed[0], pa.array(wides, pa.binary()), signed[1], pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide", "node", "place"])
+            columns = [batch.column(0), batch.column(1), signed[0], pa.array(wides, pa.binary()), signed[1], pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "wide", "node", "place"])
         if out is not None:
             out.close()
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, wide binary, node long, place binary")
+    rows = docs.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(owned(run), "doc_id long, row string, fp long, wide binary, node long, place binary")
+
+
+class Held:
+    """The last ``most`` values of a function, kept by one task."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.values = make, most, OrderedDict()
+
+    def __call__(self, key):
+        if key not in self.values:
+            while len(self.values) >= self.most:  # before the next is made
+                self.values.popitem(last=False)
+            self.values[key] = self.make(key)
+        self.values.move_to_end(key)
+        return self.values[key]
 
 
-@lru_cache(maxsize=64)
 def _packed(path: str):
     return open_file(path).open_input_file(file_path(path))
 
@@ -158,14 +173,14 @@ class Similar:
 
     def __init__(self, home: str, shingle: int, least: float):
         self.home, self.shingle, self.least = home, shingle, least
-        self.held, self.size = OrderedDict(), 0
+        self.held, self.size, self.files = OrderedDict(), 0, Held(_packed, 64)
 
     def shingles(self, place: bytes) -> np.ndarray:
         if place in self.held:
             self.held.move_to_end(place)
             return self.held[place]
         name, at, packed, size = struct.unpack(PLACE, place)
-        raw = _packed(f"{self.home}/{name.decode()}").read_at(packed, at)
+        raw = self.files(f"{self.home}/{name.decode()}").read_at(packed, at)
         found = shingle_set(pa.decompress(raw, size, codec="zstd", asbytes=True), self.shingle)
         self.held[place], self.size = found, self.size + len(found)
         while self.size > HELD and len(self.held) > 1:
@@ -294,14 +309,13 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("wide", "<u8", (EXTRA,)), ("place", f"V{struct.calcsize(PLACE)}")])
 
 
-@lru_cache(maxsize=4)
 def _tile(path: str) -> np.ndarray:
     with open_file(path).open_input_stream(file_path(path), compression=None) as file:
         return np.frombuffer(file.read(), RECORD)
 
 
-def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar: Similar | None = None) -> DataFrame:
-    """Links (a, b) of the column ``node`` of (fp, wide, node, place), confirmed by the further words and by ``similar``."""
+def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None) -> DataFrame:
+    """Links (a, b) of the column ``node`` of (fp, wide, node, place), confirmed by the further words and by what ``similar()`` makes for a task."""
     spark, home = classes.sparkSession, folder(classes.sparkSession, "tiles")
     order = [F.bit_count("fp"), F.col("fp"), F.col("node")]
     n = max(1, min(partitions(spark), -(-classes.count() // FILE)))
@@ -334,23 +348,27 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar: Simil
 
     tiles = materialise(cut.mapInArrow(write, "path string, low int, high int"), "tile-names")
     tiles = materialise(positions(tiles, [F.col("low"), F.col("high"), F.col("path")], tag="tile-order"), "tile-places")
-    last = tiles.count() - 1
-    pairs = tiles.select(F.col("path").alias("left"), F.col("pos").alias("first"), "high", F.explode(F.sequence("pos", F.lit(last).cast("long"))).alias("pos"))
-    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right"), "low"), "pos").where(F.col("low") <= F.col("high") + radius)
+    counts = {r["low"]: r["n"] for r in tiles.groupBy("low").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
+    last = sum(counts.values()) - 1
+    within = [sum(n for low, n in counts.items() if low <= high + radius) - 1 for high in range(65)]  # the last tile in reach
+    reach = F.array(*[F.lit(x).cast("long") for x in within])[F.col("high")]
+    pairs = tiles.select(F.col("path").alias("left"), F.explode(F.sequence("pos", reach)).alias("pos"))
+    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right")), "pos")
     spread = pairs.select("left", "right").repartition(max(1, min(4 * partitions(spark), (last + 1) * (last + 2) // 2)))
 
     def run(batches):
+        tile, exactly = Held(_tile, 3), similar and similar()
         for batch in batches:
             for left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = _tile(left), _tile(right)
+                a, b = tile(left), tile(right)
                 near = lambda i, j, a=a["wide"], b=b["wide"]: np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= wide_radius
-                exact = similar and (lambda i, j, a=a["place"], b=b["place"]: similar(a[i], b[j]))
+                exact = exactly and (lambda i, j, a=a["place"], b=b["place"]: exactly(a[i], b[j]))
                 u, v = compare(np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"]), radius, near, left == right, exact)
                 if len(u):
                     nodes = a["node"] if left == right else np.concatenate([a["node"], b["node"]])
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(owned(run), "a long, b long")
 
 
 def radii(similarity: float) -> tuple[int, int]:
@@ -378,7 +396,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         prints = materialise(wide_fingerprints(docs, shingle, home), "fingerprints")
         firsts = [F.min(c).alias(c) for c in ("fp", "wide", "place")]
         classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *firsts), "classes")
-        found = wide_links(classes, *radii(similarity), Similar(home, shingle, similarity))
+        found = wide_links(classes, *radii(similarity), partial(Similar, home, shingle, similarity))
     else:
         prints = materialise(fingerprints(docs, shingle), "fingerprints").withColumn("node", F.col("fp"))
         classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "classes")
@@ -389,14 +407,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     # written, so that the joins may split a large component and a hot fingerprint
     named = materialise(named, "components")
-    named = materialise(grouped.join(named, "root").select("node", "component_id"), "names")
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    named = materialise(grouped.join(named, "root").select("node", "component_id", "root"), "names")
+    rest = ["row", "root"] if radius is None else []
+    return prints.join(named, "node").select("doc_id", "fp", "component_id", *rest)
 
 
 def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's; of rows that repeat a doc_id all stay."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """One row of ``docs`` for each group of ``near_duplicates`` by similarity.
+
+    It is the row of the smallest doc_id; where that repeats, of the least digest, and one of rows
+    that are equal in doc_id and text.  A group of null doc_ids alone keeps one row as well.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keep = found.groupBy("root").agg(F.min(rank)["row"].alias("_kept")).select("_kept")
+    kept = docs.withColumn("_identity", identity(F.col("doc_id"), F.col("text"))).join(keep, F.col("_identity") == F.col("_kept"), "left_semi")
+    return copy_numbers(kept, F.col("_identity"), "_copy").where("_copy = 0").drop("_identity", "_copy")
 
 
 def as_hex(fp: Column) -> Column:

@@ -314,6 +314,25 @@ def test_mixing(spark):
     assert {r.copies for r in mixing.mix(documents(spark, [(1, None), (2, "")])).collect()} == {0}
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Rows of a null id draw each for themselves, be their texts equal or not."""
+    for text in (lambda i: f"w{i} x", lambda i: "one two"):
+        docs = documents(spark, [(None, text(i), "en", "a") for i in range(600)] + [(i, "x " * 10, "en", "b") for i in range(1, 300)])
+        got = mixing.mix(docs)
+        a = got.where("source = 'a'").agg(F.sum(F.col("size") * F.col("copies")), F.max("target")).first()
+        assert a[0] == pytest.approx(a[1], rel=0.1)
+        assert rows_of(got, "doc_id", "text", "copies") == rows_of(mixing.mix(docs.repartition(7)), "doc_id", "text", "copies")
+
+
+def test_representatives_of_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 80, 5000), words(rng, 80, 5000)
+    rows = [(1, a), (1, a), (1, b), (2, a + " end"), (None, b), (None, None), (None, "")]
+    docs = documents(spark, rows)
+    kept = simhash.representatives(docs, simhash.near_duplicates(docs, shingle=5, similarity=0.8))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (0, "")])
+
+
 # ------------------------------------------------------------------ 6, 8 repeated windows
 
 
@@ -366,20 +385,64 @@ def test_lempel_ziv_removal(spark, monkeypatch, hot):
     assert lempelziv.deduplicate(empty(spark), 7).count() == 0
 
 
+def same_crc(size=60):
+    """Two different texts of equal length and CRC-32: the second ends in the four bytes that mend its checksum."""
+    base, other = "a" * size + "####", "b" * size
+    table = [0] * 256
+    for n in range(256):
+        c = n
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table[n] = c
+    have, want, tail = zlib.crc32(other.encode()) ^ 0xFFFFFFFF, zlib.crc32(base.encode()) ^ 0xFFFFFFFF, []
+    for _ in range(4):
+        n = next(i for i in range(256) if table[i] >> 24 == want >> 24)
+        want = (want ^ table[n]) << 8 & 0xFFFFFFFF | n
+    for n in range(4):
+        tail.append((want >> 8 * n & 0xFF) ^ (have >> 8 * n & 0xFF))
+    return base.encode(), other.encode() + bytes(tail)
+
+
+@pytest.mark.parametrize("find, window", [(runlength.deduplicate, 10), (lempelziv.deduplicate, 3)])
+def test_rows_without_ids_are_told_apart(spark, find, window):
+    rng = random.Random(9)
+    a, b = words(rng, 30, 9), words(rng, 30, 9000)
+    docs = documents(spark, [(None, a), (None, b), (None, a + " x"), (0, b), (None, "a"), (None, a), (None, a)])
+    units = [r.text.encode() if find is runlength.deduplicate else r.text.encode().split() for r in docs.collect()]
+    want = sorted((len(u), sum(m)) for u, m in zip(units, brute_removed(units, window)))
+    assert sorted((r[1], r.n_removed) for r in find(docs, window).collect()) == want
+    one, two = same_crc()
+    assert zlib.crc32(one) == zlib.crc32(two) and one != two
+    raw = spark.createDataFrame([(None, bytearray(one)), (None, bytearray(two)), (None, bytearray(one[:30]))], "doc_id long, text binary")
+    if find is runlength.deduplicate:
+        masks = brute_removed([one, two, one[:30]], window)
+        assert sorted(r.n_removed for r in find(raw, window).collect()) == sorted(map(sum, masks))
+
+
+def test_words_whose_rolling_hashes_are_equal(spark):
+    """Thue-Morse words collide in every polynomial hash modulo 2^64; they are different words."""
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = documents(spark, [(1, f"{rest} {tm}"), (2, rest + " " + tm.translate(str.maketrans("ab", "ba")))])
+    assert [r.n_removed for r in lempelziv.deduplicate(docs, 35).collect()] == [0, 0]
+    assert [r.n_removed for r in lempelziv.deduplicate(docs, 34).collect()] == [34, 34]
+
+
 def test_anchors_cover_every_window_once(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     rng = random.Random(5)
     units = runlength._units(30)
     texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 29, 30, 31, 500, 4000)] + [b"a" * 900]
     windows, content_of = defaultdict(int), {}
-    for values, text, offset, start, length in repeats._hashed_pieces(texts, units):
-        piece, first, count, anchor, content = repeats.anchors(values, start, length, 30, units.gram)
-        for p, f, c, a, h in zip(piece, first, count, anchor, content):
-            t, s = int(text[p]), int(first[0] * 0 + f + offset[p])
+    for part, text, offset, start, length in repeats._pieces(texts, units):
+        piece, first, count, anchor = repeats.anchors(units.values(part), start, length, 30, units.gram)
+        content = repeats.contents(part, first, first + count + 29)
+        for p, f, c, h in zip(piece, first, count, map(tuple, content.tolist())):
+            t, s = int(text[p]), int(f - start[p] + offset[p])
             for k in range(c):
                 windows[t, s + k] += 1
             cut = texts[t][s : s + c + 29]
-            assert content_of.setdefault((a, h), cut) == cut
+            assert content_of.setdefault(h, cut) == cut
     assert windows == {(t, s): 1 for t, x in enumerate(texts) for s in range(len(x) - 29)}
 
 
@@ -400,10 +463,10 @@ def test_suffix_blocks_and_statistics():
             longest[p, i] = best
         index, reference = runlength.RunLengthIndex(parts), lempelziv.Reference(parts)
         stats = index.statistics()
-        assert len(index) <= len(index.block.order)
+        assert len(index) <= index.size
         for p, i in every:
-            at = index.block.starts[p] + i
-            assert stats[at] == reference.longest[at] == longest[p, i]
+            at = index.starts[p] + i
+            assert stats[at] == reference.longest(np.array([at]))[0] == longest[p, i]
         for window in (1, 3, 6):
             for finder in (runlength.repeated_starts, lempelziv.repeated_starts):
                 got = finder(parts, window)
@@ -411,8 +474,8 @@ def test_suffix_blocks_and_statistics():
 
 
 def test_merged_marks():
-    got = repeats.merged([2, 1, 1, 1, 2], [0, 0, 0, 1, 0], [5, 0, 3, 4, 0], [9, 3, 6, 8, 4])
-    assert [x.tolist() for x in got] == [[1, 1, 2, 2], [0, 1, 0, 0], [0, 4, 0, 5], [6, 8, 4, 9]]
+    got = repeats.merged([2, 1, 1, 0, 2], [5, 0, 3, 4, 0], [9, 3, 6, 8, 4])
+    assert [x.tolist() for x in got] == [[0, 1, 2, 2], [4, 0, 0, 5], [8, 6, 4, 9]]
     assert isinstance(suffixes.Block([np.array([1])]).order, np.ndarray)
 
 
@@ -489,6 +552,19 @@ def test_topk(spark):
     assert topk.top_k(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_beyond_exact_doubles(spark):
+    rng = random.Random(6)
+    big = float(2**27 + 1)
+    vectors = [[big / 256 + rng.randrange(9) / 256, rng.randrange(-99, 99) / 256, rng.randrange(2**20) / 256] for _ in range(60)] + [[2.0**55, 1.0, 1.0], [2.0**55, 1.0, 2.0]]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = [[int(x * 256 // 1) for x in v] for v in vectors]
+    want = []
+    for q in range(0, len(whole), 10):
+        scores = [(min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], c))), i) for i, c in enumerate(whole) if i != q]
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5])]
+    assert rows_of(topk.top_k(frame, F.col("vec_id") % 10 == 0), "query_id", "rank", "vec_id", "score") == sorted(want)
+
+
 def test_blocks_of_queries_and_candidates(monkeypatch):
     rng = np.random.default_rng(3)
     c = np.sort(rng.integers(-50, 50, (900, 8)), axis=0).astype(float)

@@ -97,10 +97,33 @@ def test_words_beyond_the_cache(monkeypatch):
 
 
 def test_long_chains_in_pieces(monkeypatch):
-    model = langid.fit([("en", ["the", "bird"]), ("de", ["der", "vogel"])] * 30)
+    """Messages are carried over the cuts: pieces change no marginal."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(list("abc"), np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    texts = [rng.normal(size=(n, 3)) for n in (40, 1, 0, 17, 8)]
+    whole = langid.Labeller(model).posteriors(texts)
     monkeypatch.setattr(langid, "CHAIN", 8)
-    got = langid.Labeller(model).posteriors(langid.Labeller(model).scored(["the bird " * 20, "vogel"]))
-    assert [len(g) for g in got] == [40, 1]
+    for a, b in zip(whole, langid.Labeller(model).posteriors(texts)):
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-12)
+
+
+def test_many_labels(spark):
+    docs = documents(spark, [(i, f"w{i % 230}q v{i % 230}q", f"l{i % 230:03}") for i in range(460)])
+    model = langid.train(docs, F.lit(True))
+    assert len(model.labels) == 230
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs.limit(40), model).collect())
+
+
+def test_no_language(spark):
+    """Texts that share their words out over the languages go, clean ones stay."""
+    import corpus_pipeline as pipeline
+
+    words = {"en": "the house of every bird with their", "de": "das haus und jeder vogel mit ihren", "fr": "la maison avec leurs oiseaux et toujours", "es": "una casa con los pajaros y siempre"}
+    rows = [(i, t, lang) for i in range(1, 90) for lang, t in words.items()]
+    mixture = " ".join(w for four in zip(*(t.split() for t in words.values())) for w in four)
+    docs = documents(spark, [*rows, (1000, mixture, None), (1001, "12 34", "en"), (1002, None, "en"), (1003, words["fr"] + " " + words["fr"], None)])
+    kept = {r.doc_id for r in pipeline.language(spark, docs, "").collect()}
+    assert kept >= set(range(1, 90)) | {1003} and not kept & {1001, 1002}
 
 
 def test_pipeline_stages(spark):
@@ -126,7 +149,13 @@ def test_pipeline_stages_on_awkward_rows(spark):
         held = docs
         for _, stage in pipeline.STAGES:
             held = pipeline.scratch.materialise(stage(spark, held, SF), "test")
-        assert held.count() >= 0
+        assert held.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
+        got = [(r.doc_id, r.piece, r.start) for r in held.collect()]
+        if docs.isEmpty():
+            assert got == []
+        else:
+            ids = {d for d, _, _ in got}
+            assert ids <= {r.doc_id for r in docs.collect()} and not ids & {2, 3, 4, 14} and {p for _, p, _ in got} >= {0}
 
 
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
@@ -146,9 +175,9 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     for own in index.values():
         for a, b in itertools.combinations(own, 2):
             pairs[a, b] = pairs.get((a, b), 0) + 1
-    close = [p for p, n in pairs.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.85]
+    close = [p for p, n in pairs.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8]
     assert not close
     everything = {r.doc_id: shingles(r.text) for r in docs.collect()}
     keep = {r.doc_id for r in kept}
     for d in set(everything) - keep:  # whoever went has a similar text
-        assert max(len(everything[d] & o) / len(everything[d] | o) for e, o in everything.items() if e != d) > 0.5
+        assert max(len(everything[d] & o) / len(everything[d] | o) for e, o in everything.items() if e != d) >= 0.8
