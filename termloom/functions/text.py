@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What counts as a word, a possessive ending, a protected stretch and a content word.
 WORD = "[A-Za-zऀ-ॿ][A-Za-zऀ-ॿ'’-]*"
 SUFFIX = "(['’]s|['’])$"
-#: Inline code, URLs, e-mail addresses, handles, bare domains.
+# Inline code, URLs, e-mail addresses, handles, bare domains.
 PROTECTED = (
     "`[^`]*`",
     "(?iU)\\b(?:https?://|www\\.)\\S+",
@@ -44,6 +45,17 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def token_rows(rows: DataFrame, key: list[str], column: str = "text") -> DataFrame:
+    """(key..., pos, start, end, stem): the tokens of each row, their places by a running sum of lengths."""
+    found = F.regexp_extract_all(column, F.lit(WORD), F.lit(0))
+    pairs = rows.select(*key, F.posexplode(F.arrays_zip(F.split(column, WORD, -1).alias("gap"), found.alias("word"))).alias("pos", "p")).where("p.word is not null")
+    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = F.length("p.gap") + F.length("p.word")
+    pairs = pairs.select(*key, "pos", F.sum(sizes).over(before).cast("int").alias("end"), F.col("p.word").alias("word"))
+    pairs = pairs.withColumn("stem", F.regexp_replace("word", SUFFIX, "")).where("stem <> ''")
+    return pairs.select(*key, "pos", (F.col("end") - F.length("word")).alias("start"), "end", "stem")
+
+
 def tokens(text: Column) -> Column:
     """Array of (text, start, end, stem, suffix); a possessive ending is the suffix."""
 
@@ -57,8 +69,11 @@ def tokens(text: Column) -> Column:
 
 def protected(text: Column) -> Column:
     """Sorted (start, end) of stretches that are never rewritten."""
-    every = F.concat(*[F.transform(matches(text, p), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for p in PROTECTED])
-    return F.array_sort(every)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    places = lambda p: F.transform(matches(text, p), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    needs = dict(zip(PROTECTED, "`.@@."))  # no match without this character, but for addresses
+    marked = lambda p: F.contains(text, F.lit(needs[p])) | F.contains(text, F.lit("://"))
+    return F.array_sort(F.concat(*[F.when(marked(p), places(p)).otherwise(none) for p in PROTECTED]))
 
 
 def overlaps(start: Column, end: Column, ranges: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import phonetics, text
+from termloom.storage import written
 
 # Thresholds of the fold.
 PROMOTION, SUPPRESSION, CONTEXT_TERMS, PINNED_CONFIDENCE = 2, 2, 25, 0.95
@@ -37,8 +38,14 @@ class Memory:
     keys: DataFrame  # scope, entry_id, key, algo
     context: DataFrame  # scope, entry_id, term, weight
 
-    def cache(self) -> Memory:
-        return Memory(*(t.cache() for t in (self.entries, self.surfaces, self.keys, self.context)))
+    stored: bool = False
+
+    def written(self) -> Memory:
+        """The same tables, each computed once; Spark then knows their sizes."""
+        if self.stored:
+            return self
+        tables = {name: written(getattr(self, name), name) for name in ("entries", "surfaces", "keys", "context")}
+        return Memory(**tables, stored=True)
 
 
 def _filled(c: str) -> Column:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from termloom.functions import phonetics, text
 from termloom.operators import evaluation, memory, resolve, trace
+from termloom.storage import written
 
 from .sql import SQL  # noqa: F401  (re-exported)
 
 # The recipe of the derived memory.
-TERMS = 40
+LONG = 9
+LONG_WORD = f"[a-z]{{{LONG},}}"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,17 +33,18 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as utterances: (scope, utt_id, asr, formatted)."""
+    """Turns as utterances: (scope, utt_id, asr, formatted); each ends in an address made of its first long word."""
+    said = F.coalesce("text", F.lit(""))
+    address = F.concat(F.lit(" www."), F.regexp_extract(F.lower(said), LONG_WORD, 0), F.lit(".com"))
     rows = _read(spark, sf_dir, "conversations")
-    return rows.select(F.lit("").alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), F.lit(None).cast("string").alias("asr"), F.col("text").alias("formatted"))
+    return rows.select(F.lit("").alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), F.lit(None).cast("string").alias("asr"), F.concat(said, address).alias("formatted"))
 
 
 def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent lower-case words of five letters or more, as entries with made-up evidence."""
+    """Every word of nine letters or more that is said, as an entry with made-up evidence: the memory grows with the tables."""
     found = _read(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zß-ÿ]+"), F.lit(0))).alias("word"))
-    counts = found.where("length(word) >= 5 and word rlike '^[a-z]+$'").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(TERMS)
-    numbered = top.withColumn("entry_id", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("word"))).cast("long"))
+    words = found.where(f"length(word) >= {LONG} and word rlike '^[a-z]+$'").distinct()
+    numbered = words.withColumn("entry_id", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 13), 16, 10).cast("long"))
     conf = F.bround((F.col("entry_id") % 5 + 1.0) / (F.col("entry_id") % 5 + F.col("entry_id") % 2 + 2.0), 4)
     status = F.when(F.col("entry_id") % 11 == 0, "suppressed").when(F.col("entry_id") % 7 == 0, "candidate").otherwise("active")
     kind = F.element_at(F.array(*[F.lit(k) for k in memory.ENTRY_KINDS]), (F.col("entry_id") % 4 + 1).cast("int"))
@@ -49,15 +52,15 @@ def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_memory(spark: SparkSession, sf_dir: str, metaphone: bool = False) -> memory.Memory:
-    """Entries heard as themselves and as a misspelling; each lives near the next entry's word."""
-    terms = derived_terms(spark, sf_dir).cache()
+    """Entries heard as themselves and as a misspelling; each lives near the next word of its first letter."""
+    terms = written(derived_terms(spark, sf_dir), "terms")
     heard = F.regexp_replace(F.regexp_replace("word", "t", "th"), "a", "aa")
-    surfaces = terms.select("scope", "entry_id", F.explode(F.array("canonical", heard)).alias("surface")).distinct()
+    surfaces = terms.select("scope", "entry_id", F.explode(F.array_distinct(F.array("canonical", heard))).alias("surface"))
     surfaces = surfaces.withColumns({"origin": F.lit("observed"), "count": F.lit(1)})
-    others = terms.select((F.col("entry_id") - 1).alias("entry_id"), F.col("word").alias("term"))
-    context = terms.select("scope", "entry_id").join(others, "entry_id").withColumn("weight", F.lit(2.0))
+    follow = F.lead("word").over(Window.partitionBy(F.substring("word", 1, 1)).orderBy("word"))
+    context = terms.select("scope", "entry_id", follow.alias("term"), F.lit(2.0).alias("weight")).where("term is not null")
     entries = terms.drop("word").withColumns({"protected": F.lit(False), "confirmations": F.lit(2), "contradictions": F.lit(0)})
-    return memory.Memory(entries, surfaces, memory.phonetic_keys(surfaces, metaphone), context)
+    return memory.Memory(entries, surfaces, memory.phonetic_keys(surfaces, metaphone), context).written()
 
 
 def strict_skeleton(spark, d):
@@ -68,11 +71,11 @@ def strict_skeleton(spark, d):
 
 
 def key_collisions_strict(spark, d):
-    return evaluation.collisions(words_of(spark, d), phonetics.strict(F.col("w")))
+    return evaluation.collisions(words_of(spark, d), "strict")
 
 
 def key_collisions_loose(spark, d):
-    return evaluation.collisions(words_of(spark, d), phonetics.loose(F.col("w")))
+    return evaluation.collisions(words_of(spark, d), "loose")
 
 
 def collision_summary(spark, d):
@@ -128,22 +131,29 @@ def context_top25(spark, d):
     return top.select(F.col("entry_id").alias("source"), "term", "weight")
 
 
+def _hits(spark, d):
+    found, known = resolve.prepared(utterances(spark, d), metaphone=False), derived_memory(spark, d)
+    return found, resolve.retrieved(found, known), known
+
+
 def retrieve_candidates(spark, d):
-    base = resolve.prepared(utterances(spark, d), metaphone=False)
-    hits = resolve.retrieved(resolve.spans(base), derived_memory(spark, d))
-    return hits.select("utt_id", "start", "end", "stem", "entry_id", "route")
+    return _hits(spark, d)[1].select("utt_id", "start", "end", "stem", "entry_id", "route", "guarded")
+
+
+def candidates_per_span(spark, d):
+    """Mean and most candidates of a span that has any."""
+    rows = _hits(spark, d)[1].groupBy("utt_id", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("spans"), F.bround(F.sum("n") / F.count(F.lit(1)), 4).alias("mean"), F.max("n").alias("most"))
 
 
 def score_candidates(spark, d):
-    base, known = resolve.prepared(utterances(spark, d), metaphone=False), derived_memory(spark, d)
-    rows = resolve.scored(resolve.retrieved(resolve.spans(base), known), known)
+    rows = resolve.scored(*_hits(spark, d))
     return rows.select("utt_id", "start", "end", "entry_id", "route", "similarity", "context_boost", "score")
 
 
 def top_two(spark, d):
     """Winner and runner-up of each span, and their margin."""
-    base, known = resolve.prepared(utterances(spark, d), metaphone=False), derived_memory(spark, d)
-    rows = resolve.ranked(resolve.scored(resolve.retrieved(resolve.spans(base), known), known))
+    rows = resolve.ranked(resolve.scored(*_hits(spark, d)))
     second = F.get("candidates", F.lit(1))["score"]
     return rows.select("utt_id", "start", "end", F.col("candidates")[0]["entry_id"].alias("winner"), F.col("candidates")[0]["score"].alias("score"), second.alias("runner_up"))
 
@@ -154,21 +164,32 @@ def _common(spark, d):
 
 
 def decide_policy(spark, d):
-    base, known = resolve.prepared(utterances(spark, d), metaphone=False), derived_memory(spark, d)
-    ranked = resolve.ranked(resolve.scored(resolve.retrieved(resolve.spans(base), known), known))
+    ranked = resolve.ranked(resolve.scored(*_hits(spark, d)))
     return resolve.decided(resolve.common_flags(ranked, _common(spark, d))).select("utt_id", "start", "end", "action", "entry_id", "score")
 
 
+def _resolved(spark, d, metaphone=False):
+    return resolve.resolve(utterances(spark, d), derived_memory(spark, d, metaphone), _common(spark, d), metaphone)
+
+
 def resolve_text(spark, d):
-    """Utterances rewritten with all key kinds."""
-    rows = resolve.resolve(utterances(spark, d), derived_memory(spark, d, metaphone=True), _common(spark, d))
-    return rows.select("utt_id", "memory_aware", "intervened", F.coalesce(F.size("decisions"), F.lit(0)).alias("n_decisions"))
+    """Utterances rewritten, by the keys that SQL can make."""
+    return _resolved(spark, d).select("utt_id", "memory_aware", "intervened", F.coalesce(F.size("decisions"), F.lit(0)).alias("n_decisions"))
+
+
+def resolve_metaphone(spark, d):
+    """Utterances rewritten, by all kinds of keys."""
+    return _resolved(spark, d, True).select("utt_id", "memory_aware", "intervened", F.coalesce(F.size("decisions"), F.lit(0)).alias("n_decisions"))
+
+
+def decision_trace(spark, d):
+    """Decisions that the greedy pass keeps."""
+    return resolve.trace(_resolved(spark, d)).select("utt_id", "start", "end", "span", "action", "entry_id", "score", "runner_up")
 
 
 def resolve_branches(spark, d):
     """Utterances that reach each branch of the policy."""
-    rows = resolve.trace(resolve.resolve(utterances(spark, d), derived_memory(spark, d, metaphone=True), _common(spark, d)))
-    return evaluation.coverage(rows, "utt_id")
+    return evaluation.coverage(resolve.trace(_resolved(spark, d)), "utt_id")
 
 
 def prompt_block(spark, d):
@@ -260,9 +281,9 @@ def validate_observations(spark, d):
 
 
 def adversarial_rates(spark, d):
-    """How often each language's turns are rewritten by an exact key: rates per corpus."""
-    docs = _read(spark, d, "documents").select("lang", F.length("text").alias("n"), "text")
-    return evaluation.rates(docs.withColumn("hit", F.col("text").contains("Licensed under")), "lang", "hit")
+    """How often the turns of each role are rewritten: rates per corpus."""
+    roles = _read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "role")
+    return evaluation.rates(_resolved(spark, d).select("utt_id", "intervened").join(roles, "utt_id"), "role", "intervened")
 
 
 def key_join(spark, d):
@@ -304,8 +325,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         strict_skeleton, key_collisions_strict, key_collisions_loose, collision_summary, phonetic_similarity, metaphone_keys, devanagari_keys,
-        tokenize_offsets, ngram_spans, protected_spans, context_top25, retrieve_candidates, score_candidates, top_two, decide_policy, resolve_text,
-        resolve_branches, prompt_block, exact_dict_replace, lifecycle_status, status_counts, surface_counts, trace_retention, recent_decisions,
+        tokenize_offsets, ngram_spans, protected_spans, context_top25, retrieve_candidates, candidates_per_span, score_candidates, top_two, decide_policy, resolve_text,
+        resolve_metaphone, decision_trace, resolve_branches, prompt_block, exact_dict_replace, lifecycle_status, status_counts, surface_counts, trace_retention, recent_decisions,
         outcome_metrics, branch_coverage, uncovered_branches, latency_percentiles, table_stats, validate_observations, adversarial_rates, key_join,
         observation_fold, memory_state,
     )

@@ -11,6 +11,13 @@ _CONTENT = text.CONTENT_WORD.replace("'", "''")
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
+def winkler(a: str, b: str) -> str:
+    """Jaro-Winkler from the Jaro similarity, in plain steps: DuckDB's own function rounds once for the product and the sum."""
+    same = " ".join(f"WHEN length({a}) >= {n} AND length({b}) >= {n} AND substr({a}, 1, {n}) = substr({b}, 1, {n}) THEN {n}" for n in (4, 3, 2, 1))
+    jaro = f"jaro_similarity({a}, {b})"
+    return f"(CASE WHEN {jaro} > 0.7::DOUBLE THEN {jaro} + (CASE {same} ELSE 0 END)::DOUBLE * 0.1::DOUBLE * (1.0::DOUBLE - {jaro}) ELSE {jaro} END)"
+
+
 def strict_ctes(source: str, column: str, name: str) -> str:
     """CTEs that add plain, strict, loose and fuzzy of ``column`` to the rows of ``source``; the last is ``name``."""
     return f"""
@@ -33,7 +40,20 @@ def _collisions(key: str) -> str:
 SELECT {key} AS key, count(*) AS n, string_agg(w, ',' ORDER BY w) AS words FROM k WHERE {key} <> '' GROUP BY 1 HAVING count(*) > 1"""
 
 
-_TURNS = "turns AS (SELECT conv_id * 1000 + turn AS utt_id, coalesce(text, '') AS text FROM conversations)"
+_PROTECTED = [p.replace("(?iU)", "(?i)").replace("(?U)", "").replace("(?<!\\w)", "\\B") for p in text.PROTECTED]
+
+
+def _found(key: str, column: str, source: str, patterns: list[str] = _PROTECTED) -> str:
+    """(key, r): place and length of each match of each pattern."""
+    parts = []
+    for p in patterns:
+        found, gaps = f"regexp_extract_all({column}, '{p}')", f"string_split_regex({column}, '{p}')"
+        parts.append(f"""SELECT {key} AS key, unnest(list_transform({found}, lambda x, i: [
+  list_sum(list_transform({gaps}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda y: length(y))), 0), length(x)])) AS r FROM {source}""")
+    return " UNION ALL ".join(parts)
+
+
+_TURNS = "turns AS (SELECT conv_id * 1000 + turn AS utt_id, coalesce(text, '') || ' www.' || regexp_extract(lower(coalesce(text, '')), '[a-z]{9,}') || '.com' AS text FROM conversations)"
 _TOKENS = f"""{_TURNS},
 t_1 AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS m, string_split_regex(text, '{_WORD}') AS g FROM turns),
 t_2 AS (SELECT utt_id, text, unnest(m) AS word, unnest(list_transform(m, lambda x, i: list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)))::INTEGER AS start,
@@ -47,13 +67,12 @@ _NGRAMS = """grams AS (
   UNION ALL SELECT a.utt_id, 3, a.pos, a.start, c."end", a.stem || ' ' || b.stem || ' ' || c.stem, [a.stem, b.stem, c.stem] FROM tokens a
     JOIN tokens b ON a.utt_id = b.utt_id AND b.pos = a.pos + 1 JOIN tokens c ON a.utt_id = c.utt_id AND c.pos = a.pos + 2)"""
 _TERMS = """found AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zß-ÿ]+')) AS word FROM conversations),
-counted AS (SELECT word, count(*) AS n FROM found WHERE length(word) >= 5 AND regexp_full_match(word, '[a-z]+') GROUP BY word),
-numbered AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS entry_id FROM counted ORDER BY n DESC, word LIMIT 40),
+numbered AS (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 13))::BIGINT AS entry_id FROM found WHERE length(word) >= 9 AND regexp_full_match(word, '[a-z]+')),
 entries AS (SELECT entry_id, upper(substr(word, 1, 1)) || substr(word, 2) AS canonical, word, (['person', 'product', 'term', 'acronym'])[entry_id % 4 + 1] AS kind,
   CASE WHEN entry_id % 11 = 0 THEN 'suppressed' WHEN entry_id % 7 = 0 THEN 'candidate' ELSE 'active' END AS status,
   round_even(CAST(CAST((entry_id % 5 + 1.0::DOUBLE) / (entry_id % 5 + entry_id % 2 + 2.0::DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS confidence FROM numbered),
 surfaces AS (SELECT DISTINCT entry_id, unnest([canonical, replace(replace(word, 't', 'th'), 'a', 'aa')]) AS surface FROM entries),
-context AS (SELECT e.entry_id, o.word AS term, 2.0::DOUBLE AS weight FROM entries e JOIN entries o ON o.entry_id = e.entry_id + 1)"""
+context AS (SELECT * FROM (SELECT entry_id, lead(word) OVER (PARTITION BY substr(word, 1, 1) ORDER BY word) AS term, 2.0::DOUBLE AS weight FROM entries) WHERE term IS NOT NULL)"""
 _KEYED = f"""{_TOKENS}, {_NGRAMS}, {_TERMS}, {strict_ctes("(SELECT DISTINCT stem FROM tokens)", "stem", "tk")}, {strict_ctes("surfaces", "surface", "sk")},
 keys AS (SELECT DISTINCT entry_id, unnest([strict, loose, fuzzy]) AS key, unnest(['indic', 'indic_loose', 'indic_fuzzy']) AS algo FROM sk),
 p_1 AS (SELECT utt_id, n, first, start, "end", stem, unnest(parts) AS part, generate_subscripts(parts, 1) AS idx FROM grams),
@@ -61,10 +80,14 @@ spans AS (SELECT utt_id, n, first, start, "end", p_1.stem AS stem, string_agg(st
   FROM p_1 JOIN tk ON tk.stem = p_1.part GROUP BY ALL),
 lookups AS (SELECT utt_id, start, "end", n, first, stem, unnest([strict, loose, fuzzy]) AS key, unnest(['indic', 'indic_loose', 'indic_fuzzy']) AS algo, unnest([0, 2, 3]) AS rank FROM spans),
 hits AS (SELECT utt_id, start, "end", n, first, stem, entry_id, min(rank) AS rank FROM lookups JOIN keys USING (key, algo) WHERE key <> '' GROUP BY ALL),
-routed AS (SELECT *, CASE rank WHEN 0 THEN 'indic' WHEN 2 THEN 'indic_loose' ELSE 'indic_fuzzy' END AS route FROM hits)"""
+ranges AS (SELECT key AS utt_id, r[1] AS a, r[1] + r[2] AS b FROM ({_found("utt_id", "text", "turns")})),
+guards AS (SELECT DISTINCT h.utt_id, h.start, h."end", h.n, h.first FROM hits h JOIN ranges g ON g.utt_id = h.utt_id AND h.start < g.b AND h."end" > g.a),
+all_routed AS (SELECT h.*, CASE rank WHEN 0 THEN 'indic' WHEN 2 THEN 'indic_loose' ELSE 'indic_fuzzy' END AS route, g.utt_id IS NOT NULL AS guarded
+  FROM hits h LEFT JOIN guards g ON g.utt_id = h.utt_id AND g.start = h.start AND g."end" = h."end"),
+routed AS (SELECT * FROM all_routed WHERE NOT guarded)"""
 _SCORED = f"""{_KEYED}, {strict_ctes("(SELECT DISTINCT stem FROM routed)", "stem", "hk")},
 near AS (SELECT r.utt_id, r.start, r."end", r.stem, r.entry_id, max(CASE WHEN hk.strict = '' OR sk.strict = '' THEN 0.0::DOUBLE ELSE
-    round_even(CAST(CAST(0.75::DOUBLE * jaro_winkler_similarity(hk.strict, sk.strict) + 0.25::DOUBLE * jaro_winkler_similarity(hk.plain, sk.plain) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE END) AS best
+    round_even(CAST(CAST(0.75::DOUBLE * {winkler('hk.strict', 'sk.strict')} + 0.25::DOUBLE * {winkler('hk.plain', 'sk.plain')} AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE END) AS best
   FROM routed r JOIN hk ON hk.stem = r.stem JOIN sk ON sk.entry_id = r.entry_id WHERE r.rank > 0 GROUP BY ALL),
 sounds AS (SELECT DISTINCT t.utt_id, unnest([tk.strict, tk.loose]) AS sound FROM tokens t JOIN tk ON tk.stem = t.stem),
 {strict_ctes("context", "term", "ck")},
@@ -82,8 +105,30 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY utt_id, start, "end" ORDER
 tops AS (SELECT a.*, b.score AS runner_up FROM placed a LEFT JOIN placed b ON b.utt_id = a.utt_id AND b.start = a.start AND b."end" = a."end" AND b.place = 2 WHERE a.place = 1)"""
 _RENDERED = """CASE WHEN kind = 'acronym' THEN canonical WHEN length(stem) > 1 AND upper(stem) = stem AND lower(stem) <> stem THEN upper(canonical) ELSE canonical END"""
 
-_EFFECTS = """fx AS (SELECT user_id::VARCHAR AS entry, event_id AS seq, (MAP {'purchase': 'confirm', 'signup': 'add', 'view': 'use', 'error': 'revert', 'click': 'apply'})[event_type] AS effect FROM events),
-born AS (SELECT entry, min(seq) FILTER (effect IN ('confirm', 'add')) AS entry_id, min(seq) FILTER (effect = 'add') AS first_add FROM fx GROUP BY entry),
+_JUDGED = f"""{_RANKED}, common AS (SELECT word FROM entries WHERE entry_id % 5 = 0), {strict_ctes("common", "word", "mk")},
+rights AS (SELECT utt_id, start, "end", arg_min(entry_id, place) AS right_id, arg_min(score, place) AS right_score FROM placed WHERE status = 'active' AND {_RENDERED} = stem GROUP BY ALL),
+judged AS (SELECT t.*, r.right_id, r.right_score, (lower(t.stem) IN (SELECT word FROM common) OR hk.strict IN (SELECT strict FROM mk WHERE strict <> '')) AS is_common
+  FROM tops t JOIN hk ON hk.stem = t.stem LEFT JOIN rights r ON r.utt_id = t.utt_id AND r.start = t.start AND r."end" = t."end"),
+decisions AS (SELECT *, CASE WHEN right_id IS NOT NULL THEN 'noop_already_correct' WHEN status = 'suppressed' THEN 'abstain_suppressed' WHEN status = 'candidate' THEN 'abstain_low_evidence'
+  WHEN score < 0.72 THEN 'abstain_low_score' WHEN runner_up IS NOT NULL AND score - runner_up < 0.06::DOUBLE THEN 'abstain_ambiguous' WHEN is_common AND context_boost <= 0 THEN 'abstain_common_word' ELSE 'apply' END AS action FROM judged)"""
+# the greedy pass: decisions of an utterance in turn, each kept if it meets no kept one
+_RESOLVED = f"""{_JUDGED},
+every AS (SELECT utt_id, start, "end", n, first, stem, action, coalesce(right_id, entry_id) AS about, coalesce(right_score, score) AS shown, CASE WHEN right_id IS NULL THEN runner_up END AS second, {_RENDERED} AS said FROM decisions
+  UNION ALL SELECT utt_id, start, "end", n, first, NULL, 'abstain_protected_span', NULL, NULL, NULL, NULL FROM guards),
+turned AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY n DESC, first) AS k FROM every),
+pass(utt_id, k, held) AS (SELECT utt_id, 1::BIGINT, [[start, "end"]] FROM turned WHERE k = 1 UNION ALL
+  SELECT p.utt_id, t.k, CASE WHEN len(list_filter(p.held, lambda x: x[1] < t."end" AND x[2] > t.start)) = 0 THEN list_append(p.held, [t.start, t."end"]) ELSE p.held END
+  FROM pass p JOIN turned t ON t.utt_id = p.utt_id AND t.k = p.k + 1),
+ends AS (SELECT utt_id, unnest(arg_max(held, k)) AS x FROM pass GROUP BY utt_id),
+kept AS (SELECT t.*, substr(u.text, t.start + 1, t."end" - t.start) AS span FROM turned t JOIN ends e ON e.utt_id = t.utt_id AND e.x[1] = t.start AND e.x[2] = t."end" JOIN turns u ON u.utt_id = t.utt_id),
+edits AS (SELECT utt_id, start, "end", said || CASE WHEN starts_with(span, stem) THEN substr(span, length(stem) + 1) ELSE '' END AS said,
+  coalesce(lag("end") OVER (PARTITION BY utt_id ORDER BY start), 0) AS since FROM kept WHERE action = 'apply'),
+pieces AS (SELECT e.utt_id, string_agg(substr(u.text, since + 1, start - since) || said, '' ORDER BY start) AS head, max("end") AS upto FROM edits e JOIN turns u ON u.utt_id = e.utt_id GROUP BY e.utt_id),
+numbers AS (SELECT utt_id, count(*)::INTEGER AS n_decisions FROM kept GROUP BY utt_id),
+resolved AS (SELECT u.utt_id, coalesce(p.head || substr(u.text, p.upto + 1), u.text) AS memory_aware, p.utt_id IS NOT NULL AS intervened, coalesce(c.n_decisions, 0)::INTEGER AS n_decisions
+  FROM turns u LEFT JOIN pieces p ON p.utt_id = u.utt_id LEFT JOIN numbers c ON c.utt_id = u.utt_id)"""
+
+_EVIDENCE = """born AS (SELECT entry, min(seq) FILTER (effect IN ('confirm', 'add')) AS entry_id, min(seq) FILTER (effect = 'add') AS first_add FROM fx GROUP BY entry),
 ev AS (SELECT entry, entry_id, first_add, count(*) FILTER (effect IN ('confirm', 'use')) AS c, count(*) FILTER (effect IN ('confirm', 'use') AND seq > first_add) AS u,
   count(*) FILTER (effect = 'revert') AS contradictions, count(*) FILTER (effect = 'apply') AS applications
   FROM fx JOIN born USING (entry) WHERE seq >= entry_id GROUP BY ALL),
@@ -91,18 +136,23 @@ ev2 AS (SELECT *, first_add IS NOT NULL AS protected, CASE WHEN first_add IS NOT
 ev3 AS (SELECT *, round_even(CAST(CAST(CASE WHEN protected THEN greatest((confirmations + 1.0::DOUBLE) / (confirmations + contradictions + 2.0::DOUBLE), 0.95::DOUBLE)
   ELSE (confirmations + 1.0::DOUBLE) / (confirmations + contradictions + 2.0::DOUBLE) END AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS confidence,
   CASE WHEN protected THEN 'active' WHEN contradictions >= 2 THEN 'suppressed' WHEN confirmations >= 2 THEN 'active' ELSE 'candidate' END AS status FROM ev2)"""
-
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_URL = r"\b(?:https?://|www\.)\S+"
-_DOMAIN = r"\b[\w-]+\.(?:com|ai|org|net|io|dev|co|in)\b\S*"
-
-
-def _found(pattern: str) -> str:
-    p = f"(?i){pattern}"
-    return f"""SELECT page_id, unnest(list_transform(regexp_extract_all(url, '{p}'), lambda x, i: [
-  list_sum(list_transform(string_split_regex(url, '{p}')[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(regexp_extract_all(url, '{p}')[1:i - 1], lambda y: length(y))), 0), length(x)])) AS r FROM pages"""
+_EFFECTS = """fx AS (SELECT user_id::VARCHAR AS entry, event_id AS seq, (MAP {'purchase': 'confirm', 'signup': 'add', 'view': 'use', 'error': 'revert', 'click': 'apply'})[event_type] AS effect FROM events),
+""" + _EVIDENCE
+_FIRST, _SECOND = r"^\P{L}*([A-Za-z]{3,})", r"^(?:\P{L}*\p{L}+)\P{L}*([A-Za-z]{3,})"
+_FOLDED = f"""obs AS (SELECT conv_id * 1000 + turn AS seq, turn % 4 AS k, text, regexp_extract(text, '{_FIRST}', 1) AS w0, regexp_extract(text, '{_SECOND}', 1) AS w1 FROM conversations WHERE text IS NOT NULL),
+named AS (SELECT seq, k, w0 AS name, lower(w0) AS entry FROM obs WHERE w0 <> '' AND (k = 2 OR k = 0 AND w1 <> '')),
+names AS (SELECT entry, min(seq) AS made, arg_min(name, seq) AS canonical FROM named GROUP BY entry),
+told AS (SELECT seq, unnest(regexp_extract_all(text, '{_CONTENT}')) AS raw FROM obs WHERE k = 1),
+terms AS (SELECT DISTINCT seq, regexp_replace(regexp_replace(lower(raw), '[''’s]+$', ''), '^[''’-]+|[''’-]+$', '', 'g') AS term FROM told),
+said AS (SELECT * FROM terms WHERE length(term) >= 3 AND term NOT IN ({_STOP})),
+{strict_ctes("(SELECT DISTINCT term AS word FROM said UNION SELECT canonical FROM names)", "word", "fk")},
+fx AS (SELECT entry, seq, CASE k WHEN 0 THEN 'confirm' ELSE 'add' END AS effect FROM named
+  UNION ALL SELECT DISTINCT n.entry, s.seq, 'use' FROM said s JOIN fk a ON a.word = s.term JOIN fk b ON b.strict = a.strict JOIN names n ON n.canonical = b.word WHERE a.strict <> '' AND s.seq > n.made
+  UNION ALL SELECT lower(w0), seq, 'revert' FROM obs WHERE k = 3 AND w0 <> ''),
+""" + _EVIDENCE
 
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL: dict[str, str] = {
     "strict_skeleton": f"WITH {_WORDS}, {strict_ctes('words', 'word', 'k')} SELECT word, strict, loose, fuzzy FROM k",
     "key_collisions_strict": _collisions("strict"),
@@ -113,28 +163,34 @@ l AS (SELECT loose, count(*) AS n FROM k WHERE loose <> '' GROUP BY 1 HAVING cou
 SELECT (SELECT count(*) FROM lowered) AS words, (SELECT count(*) FROM s) AS strict_groups, (SELECT count(*) FROM l) AS loose_groups, (SELECT coalesce(max(n), 0) FROM l) AS largest_loose""",
     "phonetic_similarity": f"""WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), w AS (SELECT word FROM p WHERE word <> '' UNION SELECT replace(word, 'e', 'ee') FROM p WHERE word <> ''),
 {strict_ctes("w", "word", "k")}
-SELECT a.word AS a, b.word AS b, round_even(CAST(CAST(0.75::DOUBLE * jaro_winkler_similarity(a.strict, b.strict) + 0.25::DOUBLE * jaro_winkler_similarity(a.plain, b.plain) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS similarity
+SELECT a.word AS a, b.word AS b, round_even(CAST(CAST(0.75::DOUBLE * {winkler('a.strict', 'b.strict')} + 0.25::DOUBLE * {winkler('a.plain', 'b.plain')} AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS similarity
 FROM k a JOIN k b ON a.loose = b.loose AND a.word < b.word WHERE a.loose <> ''""",
     "devanagari_keys": "SELECT * FROM (VALUES ('सत्य', 'satia'), ('कृष्ण', 'krisna'), ('सर्विस', 'sarvis'), ('नमस्ते', 'namaste'), ('कमल', 'kamal'), ('राम', 'ram')) v(word, strict)",
     "tokenize_offsets": f'WITH {_TOKENS} SELECT utt_id, pos, start, "end", stem, suffix FROM tokens',
     "ngram_spans": f'WITH {_TOKENS}, {_NGRAMS} SELECT utt_id, n, first, start, "end", stem FROM grams',
-    "protected_spans": f"""WITH f AS ({_found(_URL)} UNION ALL {_found(_DOMAIN)})
-SELECT page_id, r[1]::INTEGER AS start, (r[1] + r[2])::INTEGER AS "end" FROM f""",
+    "protected_spans": f"""SELECT key AS page_id, r[1]::INTEGER AS start, (r[1] + r[2])::INTEGER AS "end" FROM ({_found("page_id", "url", "pages")})""",
     "context_top25": f"""WITH w AS (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '{_CONTENT}')) AS raw FROM documents),
 c AS (SELECT source, regexp_replace(regexp_replace(lower(raw), '[''’s]+$', ''), '^[''’-]+|[''’-]+$', '', 'g') AS term FROM w),
 n AS (SELECT source, term, count(*)::DOUBLE AS weight FROM c WHERE length(term) >= 3 AND term NOT IN ({_STOP}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS k FROM n)
 SELECT source, term, weight FROM r WHERE k <= 25""",
-    "retrieve_candidates": f'WITH {_KEYED} SELECT utt_id, start, "end", stem, entry_id, route FROM routed',
+    "retrieve_candidates": f'WITH {_KEYED} SELECT utt_id, start, "end", stem, entry_id, route, guarded FROM all_routed',
+    "candidates_per_span": f"""WITH {_KEYED}, c AS (SELECT utt_id, start, "end", count(*) AS n FROM all_routed GROUP BY ALL)
+SELECT count(*) AS spans, round_even(CAST(CAST(sum(n)::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS mean, max(n) AS most FROM c""",
     "score_candidates": f'WITH {_SCORED} SELECT utt_id, start, "end", entry_id, route, similarity, context_boost, score FROM scored',
     "top_two": f'WITH {_RANKED} SELECT utt_id, start, "end", entry_id AS winner, score, runner_up FROM tops',
-    "decide_policy": f"""WITH {_RANKED}, common AS (SELECT word FROM entries WHERE entry_id % 5 = 0), {strict_ctes("common", "word", "mk")},
-rights AS (SELECT utt_id, start, "end", arg_min(entry_id, place) AS right_id, arg_min(score, place) AS right_score FROM placed WHERE status = 'active' AND {_RENDERED} = stem GROUP BY ALL),
-judged AS (SELECT t.*, r.right_id, r.right_score, (lower(t.stem) IN (SELECT word FROM common) OR hk.strict IN (SELECT strict FROM mk WHERE strict <> '')) AS is_common
-  FROM tops t JOIN hk ON hk.stem = t.stem LEFT JOIN rights r ON r.utt_id = t.utt_id AND r.start = t.start AND r."end" = t."end")
-SELECT utt_id, start, "end", CASE WHEN right_id IS NOT NULL THEN 'noop_already_correct' WHEN status = 'suppressed' THEN 'abstain_suppressed' WHEN status = 'candidate' THEN 'abstain_low_evidence'
-  WHEN score < 0.72 THEN 'abstain_low_score' WHEN runner_up IS NOT NULL AND score - runner_up < 0.06::DOUBLE THEN 'abstain_ambiguous' WHEN is_common AND context_boost <= 0 THEN 'abstain_common_word' ELSE 'apply' END AS action,
-  coalesce(right_id, entry_id) AS entry_id, coalesce(right_score, score) AS score FROM judged""",
+    "decide_policy": f'WITH {_JUDGED} SELECT utt_id, start, "end", action, coalesce(right_id, entry_id) AS entry_id, coalesce(right_score, score) AS score FROM decisions',
+    "decision_trace": f"""WITH RECURSIVE {_RESOLVED} SELECT utt_id, start, "end", span, action, about AS entry_id, shown AS score, second AS runner_up FROM kept""",
+    "resolve_text": f"WITH RECURSIVE {_RESOLVED} SELECT utt_id, memory_aware, intervened, n_decisions FROM resolved",
+    "resolve_branches": f"WITH RECURSIVE {_RESOLVED} SELECT action, count(DISTINCT utt_id) AS cases FROM kept GROUP BY action",
+    "adversarial_rates": f"""WITH RECURSIVE {_RESOLVED} SELECT role, count(*) AS sentences, count(*) FILTER (intervened) AS interventions,
+  round_even(CAST(CAST(count(*) FILTER (intervened)::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS rate FROM resolved JOIN conversations ON utt_id = conv_id * 1000 + turn GROUP BY role""",
+    "exact_dict_replace": f"""WITH {_TURNS}, {_TERMS},
+pairs AS (SELECT lower(surface) AS surface, arg_max(canonical, entry_id) AS canonical FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY 1),
+table_ AS (SELECT map_from_entries(list((surface, canonical))) AS m FROM pairs),
+cut AS (SELECT utt_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS g FROM turns)
+SELECT utt_id, array_to_string(list_transform(g, lambda x, i: x || coalesce(m[lower(w[i])], w[i], '')), '') AS replaced FROM cut, table_""",
+    "observation_fold": f"""WITH {_FOLDED} SELECT entry_id, canonical, 'term' AS kind, status, confidence, protected, confirmations, contradictions FROM ev3 JOIN names USING (entry)""",
     "prompt_block": f"""WITH {_KEYED},
 heard AS (SELECT entry_id, string_agg(DISTINCT surface, ', ' ORDER BY surface) AS variants FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY entry_id),
 lines AS (SELECT entry_id, canonical, '- ' || canonical || ' [' || kind || ']' || coalesce(' (heard as: ' || variants || ')', '') AS line FROM entries LEFT JOIN heard USING (entry_id) WHERE status = 'active'),
@@ -166,6 +222,5 @@ SELECT event_type, v[least(len(v) - 1, floor(len(v) * 0.5::DOUBLE)::BIGINT) + 1]
   event_id % 3 = 0 AS blank, CASE event_id % 5 WHEN 0 THEN 'wizard' ELSE 'term' END AS entry_kind FROM events)
 SELECT seq, kind, entry_kind, CASE WHEN kind = 'nonsense' THEN 'unknown kind: nonsense' WHEN blank THEN (MAP {'correction': 'before', 'dictionary_add': 'canonical', 'usage': 'text', 'revert': 'applied'})[kind] || ' is empty'
   WHEN kind IN ('correction', 'dictionary_add') AND entry_kind = 'wizard' THEN 'unknown entry kind: wizard' END AS problem FROM o""",
-    "adversarial_rates": "SELECT lang, count(*) AS sentences, count(*) FILTER (contains(text, 'Licensed under')) AS interventions, round_even(CAST(CAST(count(*) FILTER (contains(text, 'Licensed under'))::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS rate FROM documents GROUP BY lang",
     "key_join": f"WITH {_TERMS} SELECT surface, canonical FROM surfaces JOIN entries USING (entry_id)",
 }

@@ -62,7 +62,7 @@ def write_memory(memory: Memory, path: str) -> None:
 
 
 def read_memory(spark: SparkSession, path: str) -> Memory:
-    return Memory(*(spark.read.parquet(f"{path}/{name}") for name in MEMORY_TABLES))
+    return Memory(*(spark.read.parquet(f"{path}/{name}") for name in MEMORY_TABLES), stored=True)
 
 
 def remove_memory(spark: SparkSession, path: str) -> None:

@@ -142,7 +142,7 @@ def people(spark):
         correct("wishal", "Vishal"), correct("vishaal", "Vishal", context="Vishal runs the warehouse"),
         add("IITM", "acronym"), correct("nikheel", "Nikhiel"), correct("paj", "Page"), correct("paj", "Page", context="deploy Page tonight"),
     ]
-    return memory.fold(log(spark, *rows)).cache()
+    return memory.fold(log(spark, *rows)).written()
 
 
 def decide(spark, people, *texts, common=None):
