@@ -38,12 +38,12 @@ from .scratch import owned
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Bytes of words that a task keeps with their scores.
-CACHE = 24 << 20
+#: Bytes of words that a task keeps with their scores; the group of texts that reaches it is the last one kept.
+CACHE = 64 << 20
 #: Words of a chain that are walked one after the other.
-CHAIN = 1 << 11
+CHAIN = 1 << 13
 #: Characters of text that are labelled together.
-GROUP = 2 << 20
+GROUP = 4 << 20
 LEXICON = 500
 SEQUENCE, BATCH, EPOCHS, RATE = 32, 64, 6, 0.3
 
@@ -316,10 +316,10 @@ class Labeller:
             parts = [self.model.scores(list(map(normal, lettered[i : i + 20_000]))) for i in range(0, len(lettered), 20_000)]
             table = np.concatenate([table, *parts])
             known.rare = dict.fromkeys(missing, -1) | dict(zip(lettered, range(len(self.kept), len(table))))
-            size = self.size + sum(map(len, missing)) + len(missing) * 200 + 8 * (table.size - self.kept.size)
-            if size <= CACHE:
+            if self.size < CACHE:
+                self.size += sum(map(len, missing)) + len(missing) * 200 + 8 * (table.size - self.kept.size)
                 known.update(known.rare)
-                self.kept, self.size = table, size
+                self.kept = table
         out = []
         for words in split:
             rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
