@@ -12,7 +12,9 @@ differences add up.  Wide radii, which a similarity of 0.8 needs, use one count
 fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files that the comparing tasks
 open, so only names are shuffled.  For a similarity both fingerprints only choose candidates: each
 is confirmed by the Jaccard similarity of the two shingle sets, read from texts that were packed
-into files when the fingerprints were made.  The comparisons of a wide radius grow with the square
+into files when the fingerprints were made.  Tiles are compared with themselves first and their
+trees written, so that a large group of near copies costs two tiles one confirmation and not one
+a member.  The comparisons of a wide radius grow with the square
 of the distinct fingerprints, at about two nanoseconds each.
 
 Edge cases: a null text or one without words has fingerprint zero and is linked like any other;
@@ -44,7 +46,7 @@ SEED = 42
 #: Fingerprints in a tile, about.
 TILE = 1 << 14
 #: Fingerprints in a tile that is a file.
-FILE = 1 << 16
+FILE = 1 << 14
 #: Further 64-bit words of a wide fingerprint, and pairs confirmed at once.
 EXTRA, CONFIRM = 8, 1 << 16
 #: Candidates whose shingle sets are compared at once, and shingles of such sets held by a task.
@@ -222,8 +224,8 @@ def _neighbours(parts: int, radius: int) -> list[int]:
 class Forest:
     """Components of the links met so far between the members of a tile pair."""
 
-    def __init__(self, size: int):
-        self.label = np.arange(size)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         label = self.label
@@ -240,15 +242,17 @@ class Forest:
                 label[:] = label[label]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False, exact=None) -> tuple[np.ndarray, np.ndarray]:
+def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False, exact=None, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest (member, smaller member) of the pairs with at most ``radius`` differing bits.
 
     Members are numbered through a and then b, or through a alone if ``same``, which compares
     each pair of a once.  ``confirm(i, j)`` may reject pairs, and ``exact(i, j)``, which is dearer,
-    those that it leaves; pairs already joined are not asked.
+    those that it leaves; pairs already joined are not asked.  ``joined`` gives every member's
+    smallest member as known before; the forest then holds only what is new, from such members.
     """
     shift = 0 if same else len(a)
-    forest, rows = Forest(shift + len(b)), max(1, BLOCK // max(1, len(b)))
+    before = np.arange(shift + len(b)) if joined is None else joined
+    forest, rows = Forest(before.copy()), max(1, BLOCK // max(1, len(b)))
     for at in range(0, len(a), rows):
         start = at if same else 0
         i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, start:]) <= radius)
@@ -273,7 +277,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool
             else:
                 forest.add(i, j + shift)
                 break
-    moved = np.flatnonzero(forest.label != np.arange(len(forest.label)))
+    moved = np.flatnonzero((forest.label != before) & (before == np.arange(len(before))))
     return moved, forest.label[moved]
 
 
@@ -314,6 +318,11 @@ def _tile(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), RECORD)
 
 
+def _trees(path: str) -> np.ndarray:
+    with open_file(path).open_input_stream(file_path(path), compression=None) as file:
+        return np.frombuffer(file.read(), "<i4").astype(np.int64)
+
+
 def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None) -> DataFrame:
     """Links (a, b) of the column ``node`` of (fp, wide, node, place), confirmed by the further words and by what ``similar()`` makes for a task."""
     spark, home = classes.sparkSession, folder(classes.sparkSession, "tiles")
@@ -350,25 +359,50 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None)
     tiles = materialise(positions(tiles, [F.col("low"), F.col("high"), F.col("path")], tag="tile-order"), "tile-places")
     counts = {r["low"]: r["n"] for r in tiles.groupBy("low").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
     last = sum(counts.values()) - 1
-    within = [sum(n for low, n in counts.items() if low <= high + radius) - 1 for high in range(65)]  # the last tile in reach
-    reach = F.array(*[F.lit(x).cast("long") for x in within])[F.col("high")]
-    pairs = tiles.select(F.col("path").alias("left"), F.explode(F.sequence("pos", reach)).alias("pos"))
-    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right")), "pos")
-    spread = pairs.select("left", "right").repartition(max(1, min(4 * partitions(spark), (last + 1) * (last + 2) // 2)))
+    ends = [sum(n for low, n in counts.items() if low <= high + radius) - 1 for high in range(65)]  # the last tile in reach
+    reach = F.array(*[F.lit(x).cast("long") for x in ends])[F.col("high")]
+
+    def forest(left, right, exactly, same=False, joined=None):
+        near = lambda i, j: np.bitwise_count(left["wide"][i] ^ right["wide"][j]).sum(axis=1, dtype=np.int64) <= wide_radius
+        exact = exactly and (lambda i, j: exactly(left["place"][i], right["place"][j]))
+        return compare(np.ascontiguousarray(left["fp"]), np.ascontiguousarray(right["fp"]), radius, near, same, exact, joined)
+
+    def within(batches):
+        exactly, fs = similar and similar(), open_file(home)
+        for batch in batches:
+            for path in batch.column(1).to_pylist():
+                rows, trees = _tile(path), f"{home}/{uuid.uuid4().hex}.trees"
+                label = np.arange(len(rows))
+                u, v = forest(rows, rows, exactly, True)
+                label[u] = v
+                with fs.open_output_stream(file_path(trees), compression=None) as out:
+                    out.write(label.astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([trees])], names=["path", "trees"])
+
+    # a tile's own links first: other tiles then ask once for each tree and not for each of its members
+    own = tiles.select("pos", "path").repartition(max(1, min(4 * partitions(spark), last + 1)))
+    known = materialise(own.mapInArrow(owned(within), "path string, trees string"), "tile-trees")
+    tiles = tiles.join(known, "path")
+    pairs = tiles.select(F.col("path").alias("left"), F.col("trees").alias("left_trees"), F.explode(F.sequence("pos", reach)).alias("pos"))
+    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right"), F.col("trees").alias("right_trees")), "pos")
+    spread = pairs.select("left", "left_trees", "right", "right_trees").repartition(max(1, min(4 * partitions(spark), (last + 1) * (last + 2) // 2)))
 
     def run(batches):
-        tile, exactly = Held(_tile, 3), similar and similar()
+        tile, tree, exactly = Held(_tile, 3), Held(_trees, 6), similar and similar()
         for batch in batches:
-            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = tile(left), tile(right)
-                near = lambda i, j, a=a["wide"], b=b["wide"]: np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= wide_radius
-                exact = exactly and (lambda i, j, a=a["place"], b=b["place"]: exactly(a[i], b[j]))
-                u, v = compare(np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"]), radius, near, left == right, exact)
+            for left, left_trees, right, right_trees in zip(*(c.to_pylist() for c in batch.columns)):
+                a, below = tile(left), tree(left_trees)
+                if left == right:
+                    u = np.flatnonzero(below != np.arange(len(below)))
+                    v, nodes = below[u], a["node"]
+                else:
+                    b = tile(right)
+                    u, v = forest(a, b, exactly, joined=np.concatenate([below, tree(right_trees) + len(a)]))
+                    nodes = np.concatenate([a["node"], b["node"]]) if len(u) else None
                 if len(u):
-                    nodes = a["node"] if left == right else np.concatenate([a["node"], b["node"]])
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["a", "b"])
 
-    return spread.mapInArrow(owned(run), "a long, b long")
+    return spread.sortWithinPartitions("left", "right").mapInArrow(owned(run), "a long, b long")
 
 
 def radii(similarity: float) -> tuple[int, int]:

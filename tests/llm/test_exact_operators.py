@@ -189,6 +189,16 @@ def test_compare_forest_is_whole():
             got[u] = v
             if confirm is None or not same:
                 assert np.array_equal(got, label)
+            if not same:  # known links: only what is new comes out, and both together make the whole
+                known = np.arange(shift + len(b))
+                known[4 : len(a) : 4] = 0
+                u, v = simhash.compare(a, b, 5, confirm, False, joined=known)
+                assert np.array_equal(known[u], u)
+                both = simhash.Forest(known.copy())
+                both.add(u, v)
+                whole = simhash.Forest(known.copy())
+                whole.add(i, j + shift)
+                assert np.array_equal(both.label, whole.label)
 
 
 def test_simhash_similarity(spark):
@@ -241,6 +251,26 @@ def test_simhash_similarity_at_the_limit(spark):
     assert got == {d: d - d % 2 if near[d - d % 2] else d for d in sets}
 
 
+@pytest.mark.parametrize("rows_of_a_tile", [16, 1 << 14])
+def test_simhash_groups_over_many_tiles(spark, monkeypatch, rows_of_a_tile):
+    """Chains of near copies, whose links lie within tiles and across them."""
+    monkeypatch.setattr(simhash, "FILE", rows_of_a_tile)
+    rng = random.Random(9)
+    fresh = (f"x{i}" for i in itertools.count())
+    texts = {}
+    for group in range(8):
+        now = [next(fresh) for _ in range(200)]
+        for step in range(20):  # neighbours are alike, the ends of a chain are not
+            texts[100 * group + step] = " ".join(now)
+            at = rng.randrange(4, 180)
+            now = now[:at] + [next(fresh) for _ in range(9)] + now[at + 9 :]
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for d, t in texts.items()}
+    want = brute_components([(d, d) for d in texts], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, list(texts.items())), 5, 0.8).collect()}
+    assert got == {d: c for d, _, c in want}
+    assert len(set(got.values())) < len(got) / 4
+
+
 # ------------------------------------------------------------------ 3 interleaved media
 
 
