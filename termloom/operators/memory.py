@@ -23,6 +23,7 @@ ENTRY_KINDS = ("person", "product", "term", "acronym")
 KINDS = ("correction", "dictionary_add", "usage", "revert")
 #: Manual overrides, as observations of their own.
 CONTROLS = ("pin", "unpin", "force", "delete")
+STATUSES = ("candidate", "active", "suppressed")
 OBSERVATION = (
     "scope string, seq long, kind string, before string, after string, canonical string, text string, "
     "applied string, reverted_to string, entry_kind string, context string, status string"
@@ -63,6 +64,8 @@ def checked(observations: DataFrame) -> DataFrame:
         for word in words:
             problem = problem.when((F.col("kind") == name) & (F.col(word) == ""), F.lit(f"{word} is empty"))
     problem = problem.when(F.col("kind").isin("correction", "dictionary_add") & ~F.col("entry_kind").isin(*ENTRY_KINDS), F.concat(F.lit("unknown entry kind: "), F.col("entry_kind")))
+    status = F.coalesce("status", F.lit("none"))
+    problem = problem.when((F.col("kind") == "force") & ~status.isin(*STATUSES), F.concat(F.lit("unknown status: "), status))
     return out.withColumn("problem", problem)
 
 
@@ -105,10 +108,12 @@ def _judged(counts: DataFrame) -> DataFrame:
 
 
 def _named(observations: DataFrame) -> DataFrame:
-    """Creating observations with the entry's name in lower case."""
+    """Creating observations with the entry's name in lower case; a deletion takes those before it."""
     made = observations.where(F.col("kind").isin("correction", "dictionary_add"))
     name = F.when(F.col("kind") == "correction", F.col("after")).otherwise(F.col("canonical"))
-    return made.withColumn("name", name).withColumn("entry", F.lower("name"))
+    made = made.withColumn("name", name).withColumn("entry", F.lower("name"))
+    gone = observations.where("kind = 'delete'").groupBy("scope", F.lower("canonical").alias("entry")).agg(F.max("seq").alias("_gone"))
+    return made.join(gone, ["scope", "entry"], "left").where("_gone is null or seq > _gone").drop("_gone")
 
 
 def _born(named: DataFrame) -> DataFrame:
@@ -203,35 +208,43 @@ def fold(observations: DataFrame, metaphone: bool = True, exact_context: bool =
     effects = effects.unionByName(uses.select("scope", "entry", "seq", F.lit("use").alias("effect")))
     effects = effects.unionByName(log.where("kind = 'revert'").select("scope", F.lower("applied").alias("entry"), "seq", F.lit("revert").alias("effect")))
     entries = evidence(effects).join(born.select("scope", "entry", "canonical", F.col("entry_kind").alias("kind")), ["scope", "entry"])
-    entries = _controlled(entries, log)
+    entries = _controlled(entries, log, named)
 
     at = named.join(born.select("scope", "entry", "entry_id"), ["scope", "entry"])
     made = born.select("scope", "entry_id", F.col("entry_id").alias("seq"), F.lit(0).alias("step"), F.col("canonical").alias("surface"), F.lit("canonical").alias("origin"))
     own = at.select("scope", "entry_id", "seq", F.lit(1).alias("step"), F.col("name").alias("surface"), F.lit("canonical").alias("origin"))
     heard = at.where("kind = 'correction'").select("scope", "entry_id", "seq", F.lit(2).alias("step"), F.col("before").alias("surface"), F.lit("observed").alias("origin"))
-    alive = entries.select("scope", "entry_id")
-    surfaces = surface_counts(made.unionByName(own).unionByName(heard)).join(alive, ["scope", "entry_id"], "left_semi")
+    surfaces = surface_counts(made.unionByName(own).unionByName(heard))
 
     told = at.where("kind = 'correction' and context is not null").select("scope", "entry_id", "seq", F.col("context").alias("text"), phonetics.strict(F.col("after")).alias("sound"))
     terms = mined(told.unionByName(uses.select("scope", "entry_id", "seq", "text", "sound")))
-    context = (pruned_in_turn if exact_context else strongest)(terms).join(alive, ["scope", "entry_id"], "left_semi")
+    context = (pruned_in_turn if exact_context else strongest)(terms)
     return Memory(entries.drop("entry"), surfaces, phonetic_keys(surfaces, metaphone), context)
 
 
-def _controlled(entries: DataFrame, log: DataFrame) -> DataFrame:
-    """Manual overrides: the last pin or unpin stands, a forced status until evidence follows, deleted entries go."""
-    told = log.where(F.col("kind").isin(*CONTROLS)).select("scope", F.lower("canonical").alias("entry"), "seq", "kind", "status")
-    last = told.groupBy("scope", "entry").agg(
-        F.max(F.when(F.col("kind").isin("pin", "unpin"), F.struct("seq", "kind"))).alias("pin"),
+def _controlled(entries: DataFrame, log: DataFrame, named: DataFrame) -> DataFrame:
+    """Manual overrides: adds, pins, unpins and forced suppressions switch the protection in turn.
+
+    A forced status stands until the entry is judged again, by evidence, a pin or an unpin; its
+    confidence stays as it was judged last.
+    """
+    told = log.where(F.col("kind").isin("pin", "unpin", "force")).select("scope", F.lower("canonical").alias("entry"), "seq", "kind", "status")
+    adds = named.where("kind = 'dictionary_add'").select("scope", "entry", "seq", F.lit("pin").alias("kind"), F.lit(None).cast("string").alias("status"))
+    when = told.unionByName(adds).join(entries.select("scope", "entry", "entry_id", "last_seq"), ["scope", "entry"]).where("seq >= entry_id")
+    hushed = (F.col("kind") == "force") & (F.col("status") == "suppressed")
+    switched = when.groupBy("scope", "entry").agg(
+        F.max(F.when(F.col("kind") != "force", F.struct("seq", (F.col("kind") == "pin").alias("on")))).alias("pin"),
         F.max(F.when(F.col("kind") == "force", F.struct("seq", "status"))).alias("force"),
-        F.max(F.when(F.col("kind") == "delete", F.col("seq"))).alias("deleted"),
+        F.max(F.when(hushed & (F.col("seq") <= F.col("last_seq")), F.col("seq"))).alias("hushed_before"),
+        F.max(F.when(hushed, F.col("seq"))).alias("hushed"),
     )
-    joined = entries.join(last, ["scope", "entry"], "left").where("deleted is null or deleted < entry_id")
-    pinned = F.when(F.col("pin.kind") == "pin", F.lit(True)).when(F.col("pin.kind") == "unpin", F.lit(False)).otherwise(F.col("protected"))
-    judged = _judged(joined.withColumn("protected", pinned))
-    forced = F.col("force.seq") > F.greatest("last_seq", F.coalesce("pin.seq", F.lit(-1)))
-    judged = judged.withColumn("status", F.when(forced, F.col("force.status")).otherwise(F.col("status")))
-    return judged.withColumn("protected", F.col("protected") & ~F.coalesce(forced & (F.col("status") == "suppressed"), F.lit(False))).drop("pin", "force", "deleted")
+    joined = entries.join(switched, ["scope", "entry"], "left")
+    never = F.lit(-1)
+    on = F.coalesce(F.col("pin.on") & (F.col("pin.seq") > F.coalesce("hushed_before", never)), F.lit(False))
+    judged = _judged(joined.withColumn("protected", on))
+    at = F.greatest("last_seq", F.coalesce("pin.seq", never))
+    judged = judged.withColumn("status", F.when(F.col("force.seq") > at, F.col("force.status")).otherwise(F.col("status")))
+    return judged.withColumn("protected", F.col("protected") & (F.coalesce("hushed", never) <= at)).drop("pin", "force", "hushed_before", "hushed")
 
 
 def applied(entries: DataFrame, decisions: DataFrame) -> DataFrame:

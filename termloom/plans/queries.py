@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import phonetics, text
@@ -51,11 +51,14 @@ def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.lit("").alias("scope"), "entry_id", F.initcap("word").alias("canonical"), kind.alias("kind"), status.alias("status"), conf.alias("confidence"), "word")
 
 
+def misheard(word: Column) -> Column:
+    return F.replace(F.replace(word, F.lit("t"), F.lit("th")), F.lit("a"), F.lit("aa"))
+
+
 def derived_memory(spark: SparkSession, sf_dir: str, metaphone: bool = False) -> memory.Memory:
     """Entries heard as themselves and as a misspelling; each lives near the next word of its first letter."""
     terms = written(derived_terms(spark, sf_dir), "terms")
-    heard = F.regexp_replace(F.regexp_replace("word", "t", "th"), "a", "aa")
-    surfaces = terms.select("scope", "entry_id", F.explode(F.array_distinct(F.array("canonical", heard))).alias("surface"))
+    surfaces = terms.select("scope", "entry_id", F.explode(F.array_distinct(F.array("canonical", misheard(F.col("word"))))).alias("surface"))
     surfaces = surfaces.withColumns({"origin": F.lit("observed"), "count": F.lit(1)})
     follow = F.lead("word").over(Window.partitionBy(F.substring("word", 1, 1)).orderBy("word"))
     context = terms.select("scope", "entry_id", follow.alias("term"), F.lit(2.0).alias("weight")).where("term is not null")
@@ -118,9 +121,11 @@ def ngram_spans(spark, d):
 
 
 def protected_spans(spark, d):
-    """Protected stretches of page addresses."""
-    rows = _read(spark, d, "pages").select("page_id", F.explode(text.protected(F.col("url"))).alias("r"))
-    return rows.select("page_id", "r.start", "r.end")
+    """Protected stretches of pages' addresses and bodies."""
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("body")) for c in ("url", "html")])
+    rows = _read(spark, d, "pages").select("page_id", F.inline(parts))
+    rows = rows.select("page_id", "part", F.explode(text.protected(F.col("body"))).alias("r"))
+    return rows.select("page_id", "part", "r.start", "r.end")
 
 
 def context_top25(spark, d):
@@ -192,6 +197,27 @@ def resolve_branches(spark, d):
     return evaluation.coverage(resolve.trace(_resolved(spark, d)), "utt_id")
 
 
+def said_cases(spark, d):
+    """Turns as cases: long words in lower case are expected with a capital, and are misspelt in every other turn; an address stays."""
+    word, rows = "[\\p{L}\\p{N}_]+", _read(spark, d, "conversations").withColumn("said", F.coalesce("text", F.lit("")))
+
+    def each(change):
+        changed = lambda gap, w: F.concat(gap, F.when(w.rlike(f"^{LONG_WORD}$"), change(w)).otherwise(F.coalesce(w, F.lit(""))))
+        return F.array_join(F.zip_with(F.split("said", word, -1), F.regexp_extract_all("said", F.lit(word), F.lit(0)), changed), "")
+
+    address = F.concat(F.lit(" www."), F.regexp_extract(F.lower("said"), LONG_WORD, 0), F.lit(".com"))
+    heard = F.when(F.col("turn") % 2 == 0, each(misheard)).otherwise(F.col("said"))
+    return rows.select(
+        F.lit("").alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), F.lit(None).cast("string").alias("asr"),
+        F.concat(heard, address).alias("formatted"), F.concat(each(F.initcap), address).alias("expected"),
+    )
+
+
+def strategy_metrics(spark, d):
+    """The three strategies over the cases."""
+    return evaluation.metrics(evaluation.judged(said_cases(spark, d), derived_memory(spark, d), _common(spark, d), metaphone=False), ["strategy"])
+
+
 def prompt_block(spark, d):
     return resolve.prompt_block(utterances(spark, d), derived_memory(spark, d)).select("utt_id", "block")
 
@@ -326,7 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         strict_skeleton, key_collisions_strict, key_collisions_loose, collision_summary, phonetic_similarity, metaphone_keys, devanagari_keys,
         tokenize_offsets, ngram_spans, protected_spans, context_top25, retrieve_candidates, candidates_per_span, score_candidates, top_two, decide_policy, resolve_text,
-        resolve_metaphone, decision_trace, resolve_branches, prompt_block, exact_dict_replace, lifecycle_status, status_counts, surface_counts, trace_retention, recent_decisions,
+        resolve_metaphone, decision_trace, resolve_branches, strategy_metrics, prompt_block, exact_dict_replace, lifecycle_status, status_counts, surface_counts, trace_retention, recent_decisions,
         outcome_metrics, branch_coverage, uncovered_branches, latency_percentiles, table_stats, validate_observations, adversarial_rates, key_join,
         observation_fold, memory_state,
     )

@@ -152,6 +152,36 @@ fx AS (SELECT entry, seq, CASE k WHEN 0 THEN 'confirm' ELSE 'add' END AS effect
 """ + _EVIDENCE
 
 
+_LABELLED = """o AS (SELECT lang, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'useful' WHEN toxic = 0 THEN 'missed' ELSE 'wrong_target' END
+  ELSE CASE WHEN toxic = 1 THEN 'correct_abstention' ELSE 'false_intervention' END END AS outcome FROM labels JOIN documents USING (doc_id)),"""
+_EXACT = f"""xpairs AS (SELECT lower(surface) AS surface, arg_max(canonical, entry_id) AS canonical FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY 1),
+xtable AS (SELECT map_from_entries(list((surface, canonical))) AS m FROM xpairs),
+xcut AS (SELECT utt_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS g FROM turns),
+xout AS (SELECT utt_id, array_to_string(list_transform(g, lambda x, i: x || coalesce(m[lower(w[i])], w[i], '')), '') AS replaced FROM xcut, xtable)"""
+# cases: long words in lower case are expected with a capital, and misspelt in every other turn
+_SPOKEN = """spoken AS (SELECT conv_id * 1000 + turn AS utt_id, turn % 2 = 0 AS noisy, coalesce(text, '') AS said FROM conversations),
+bits AS (SELECT *, list_transform(regexp_extract_all(said, '[\\p{L}\\p{N}_]+'), lambda w: {'w': w, 'long': regexp_full_match(w, '[a-z]{9,}')}) AS w, string_split_regex(said, '[\\p{L}\\p{N}_]+') AS g FROM spoken),
+sides AS (SELECT utt_id, ' www.' || regexp_extract(lower(said), '[a-z]{9,}') || '.com' AS address,
+  array_to_string(list_transform(g, lambda x, i: x || coalesce(CASE WHEN w[i].long THEN upper(w[i].w[1]) || substr(w[i].w, 2) ELSE w[i].w END, '')), '') AS good,
+  array_to_string(list_transform(g, lambda x, i: x || coalesce(CASE WHEN w[i].long AND noisy THEN replace(replace(w[i].w, 't', 'th'), 'a', 'aa') ELSE w[i].w END, '')), '') AS bad FROM bits),
+turns AS (SELECT utt_id, bad || address AS text FROM sides)"""
+_STRATEGIES = f"""{_RESOLVED.replace(_TURNS, _SPOKEN, 1)}, {_EXACT},
+wanted AS (SELECT utt_id, bad || address AS text, good || address AS expected FROM sides),
+acts AS (SELECT utt_id, 'none' AS strategy, text AS actual FROM turns UNION ALL SELECT utt_id, 'exact_dict', replaced FROM xout UNION ALL SELECT utt_id, 'phonetic', memory_aware FROM resolved),
+o AS (SELECT strategy, CASE WHEN expected <> text THEN CASE WHEN actual = expected THEN 'useful' WHEN actual = text THEN 'missed' ELSE 'wrong_target' END
+  ELSE CASE WHEN actual = expected THEN 'correct_abstention' ELSE 'false_intervention' END END AS outcome FROM acts JOIN wanted USING (utt_id)),
+"""
+
+
+def _metrics(by: str) -> str:
+    return f"""c AS (SELECT {by}, count(*) AS cases, count(*) FILTER (outcome = 'useful') AS useful, count(*) FILTER (outcome = 'missed') AS missed, count(*) FILTER (outcome = 'wrong_target') AS wrong_target,
+  count(*) FILTER (outcome = 'correct_abstention') AS correct_abstention, count(*) FILTER (outcome = 'false_intervention') AS false_intervention FROM o GROUP BY {by}),
+q AS (SELECT *, CASE WHEN useful + wrong_target + false_intervention = 0 THEN 0.0::DOUBLE ELSE useful::DOUBLE / (useful + wrong_target + false_intervention) END AS p,
+  CASE WHEN useful + missed + wrong_target = 0 THEN 0.0::DOUBLE ELSE useful::DOUBLE / (useful + missed + wrong_target) END AS r FROM c)
+SELECT {by}, cases, useful, missed, wrong_target, correct_abstention, false_intervention, round_even(CAST(CAST((useful + correct_abstention)::DOUBLE / cases AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS pass_rate,
+  round_even(CAST(CAST(p AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS precision, round_even(CAST(CAST(r AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS recall, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE round_even(CAST(CAST(2 * p * r / (p + r) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE END AS f1 FROM q"""
+
+
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL: dict[str, str] = {
     "strict_skeleton": f"WITH {_WORDS}, {strict_ctes('words', 'word', 'k')} SELECT word, strict, loose, fuzzy FROM k",
@@ -168,7 +198,7 @@ FROM k a JOIN k b ON a.loose = b.loose AND a.word < b.word WHERE a.loose <> ''""
     "devanagari_keys": "SELECT * FROM (VALUES ('सत्य', 'satia'), ('कृष्ण', 'krisna'), ('सर्विस', 'sarvis'), ('नमस्ते', 'namaste'), ('कमल', 'kamal'), ('राम', 'ram')) v(word, strict)",
     "tokenize_offsets": f'WITH {_TOKENS} SELECT utt_id, pos, start, "end", stem, suffix FROM tokens',
     "ngram_spans": f'WITH {_TOKENS}, {_NGRAMS} SELECT utt_id, n, first, start, "end", stem FROM grams',
-    "protected_spans": f"""SELECT key AS page_id, r[1]::INTEGER AS start, (r[1] + r[2])::INTEGER AS "end" FROM ({_found("page_id", "url", "pages")})""",
+    "protected_spans": " UNION ALL ".join(f"""SELECT key AS page_id, '{c}' AS part, r[1]::INTEGER AS start, (r[1] + r[2])::INTEGER AS "end" FROM ({_found("page_id", c, "pages")})""" for c in ("url", "html")),
     "context_top25": f"""WITH w AS (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '{_CONTENT}')) AS raw FROM documents),
 c AS (SELECT source, regexp_replace(regexp_replace(lower(raw), '[''’s]+$', ''), '^[''’-]+|[''’-]+$', '', 'g') AS term FROM w),
 n AS (SELECT source, term, count(*)::DOUBLE AS weight FROM c WHERE length(term) >= 3 AND term NOT IN ({_STOP}) GROUP BY ALL),
@@ -185,11 +215,7 @@ SELECT count(*) AS spans, round_even(CAST(CAST(sum(n)::DOUBLE / count(*) AS VARC
     "resolve_branches": f"WITH RECURSIVE {_RESOLVED} SELECT action, count(DISTINCT utt_id) AS cases FROM kept GROUP BY action",
     "adversarial_rates": f"""WITH RECURSIVE {_RESOLVED} SELECT role, count(*) AS sentences, count(*) FILTER (intervened) AS interventions,
   round_even(CAST(CAST(count(*) FILTER (intervened)::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS rate FROM resolved JOIN conversations ON utt_id = conv_id * 1000 + turn GROUP BY role""",
-    "exact_dict_replace": f"""WITH {_TURNS}, {_TERMS},
-pairs AS (SELECT lower(surface) AS surface, arg_max(canonical, entry_id) AS canonical FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY 1),
-table_ AS (SELECT map_from_entries(list((surface, canonical))) AS m FROM pairs),
-cut AS (SELECT utt_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS g FROM turns)
-SELECT utt_id, array_to_string(list_transform(g, lambda x, i: x || coalesce(m[lower(w[i])], w[i], '')), '') AS replaced FROM cut, table_""",
+    "exact_dict_replace": f"WITH {_TURNS}, {_TERMS}, {_EXACT} SELECT utt_id, replaced FROM xout",
     "observation_fold": f"""WITH {_FOLDED} SELECT entry_id, canonical, 'term' AS kind, status, confidence, protected, confirmations, contradictions FROM ev3 JOIN names USING (entry)""",
     "prompt_block": f"""WITH {_KEYED},
 heard AS (SELECT entry_id, string_agg(DISTINCT surface, ', ' ORDER BY surface) AS variants FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY entry_id),
@@ -204,14 +230,8 @@ SELECT utt_id, '# Known personal terms' || chr(10) || coalesce(lines, '(none rel
 SELECT user_id AS request_id, event_id AS id, event_type AS action, value AS score FROM events WHERE user_id IN (SELECT user_id FROM k)""",
     "recent_decisions": """WITH l AS (SELECT user_id, max(event_id) AS last_id, count(*)::INTEGER AS n, arg_max(event_type, event_id) AS last_action FROM events GROUP BY 1)
 SELECT user_id AS request_id, n, last_id, last_action FROM l QUALIFY row_number() OVER (ORDER BY last_id DESC) <= 40""",
-    "outcome_metrics": """WITH o AS (SELECT lang, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'useful' WHEN toxic = 0 THEN 'missed' ELSE 'wrong_target' END
-  ELSE CASE WHEN toxic = 1 THEN 'correct_abstention' ELSE 'false_intervention' END END AS outcome FROM labels JOIN documents USING (doc_id)),
-c AS (SELECT lang, count(*) AS cases, count(*) FILTER (outcome = 'useful') AS useful, count(*) FILTER (outcome = 'missed') AS missed, count(*) FILTER (outcome = 'wrong_target') AS wrong_target,
-  count(*) FILTER (outcome = 'correct_abstention') AS correct_abstention, count(*) FILTER (outcome = 'false_intervention') AS false_intervention FROM o GROUP BY lang),
-q AS (SELECT *, CASE WHEN useful + wrong_target + false_intervention = 0 THEN 0.0::DOUBLE ELSE useful::DOUBLE / (useful + wrong_target + false_intervention) END AS p,
-  CASE WHEN useful + missed + wrong_target = 0 THEN 0.0::DOUBLE ELSE useful::DOUBLE / (useful + missed + wrong_target) END AS r FROM c)
-SELECT lang, cases, useful, missed, wrong_target, correct_abstention, false_intervention, round_even(CAST(CAST((useful + correct_abstention)::DOUBLE / cases AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS pass_rate,
-  round_even(CAST(CAST(p AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS precision, round_even(CAST(CAST(r AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS recall, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE round_even(CAST(CAST(2 * p * r / (p + r) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE END AS f1 FROM q""",
+    "outcome_metrics": "WITH " + _LABELLED + _metrics("lang"),
+    "strategy_metrics": "WITH RECURSIVE " + _STRATEGIES + _metrics("strategy"),
     "branch_coverage": "SELECT event_type AS action, count(DISTINCT user_id) AS cases FROM events GROUP BY 1",
     "uncovered_branches": """SELECT action FROM (VALUES ('purchase'), ('view'), ('apply'), ('noop_already_correct'), ('abstain_suppressed'), ('abstain_low_evidence'), ('abstain_low_score'),
   ('abstain_ambiguous'), ('abstain_common_word'), ('abstain_protected_span')) v(action) WHERE action NOT IN (SELECT event_type FROM events)""",
