@@ -325,6 +325,17 @@ def test_percentiles_are_not_interpolated(spark):
     assert (got["p50"], got["p95"], got["max"], got["count"]) == (xs[20], xs[38], xs[-1], 40)
 
 
+def test_percentiles_of_a_large_and_a_null_group(spark):
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(1000))) for g, n in (("a", 3000), ("b", 7), (None, 40)) for _ in range(n)] + [("a", None), ("c", None)]
+    got = {r.g: (r.p1, r.p50, r.p100, r["max"], r["count"]) for r in evaluation.percentile_at(spark.createDataFrame(rows, "g string, v double"), "v", {"p1": 0.01, "p50": 0.5, "p100": 1.0}, ["g"]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        xs = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = (*(xs[min(len(xs) - 1, int(len(xs) * p))] for p in (0.01, 0.5, 1.0)), xs[-1], len(xs))
+    assert got == want
+
+
 def test_corpora(spark):
     names = evaluation.synthetic_names(spark, 50)
     frames = spark.createDataFrame([("Call {} now",), ("{} left",)], "frame string")
