@@ -19,7 +19,7 @@ def compacted(decisions: DataFrame, keep: int = RETENTION, request: str = "reque
     held = decisions.select(request).distinct().limit(2 * keep + 1).count()
     if held <= 2 * keep:
         return decisions
-    return decisions.join(F.broadcast(newest(decisions, keep, request, order)), request, "left_semi")  # keep rows
+    return decisions.join(newest(decisions, keep, request, order), request, "left_semi")
 
 
 def retained_after(n: int, keep: int = RETENTION) -> int:
@@ -37,7 +37,7 @@ def retained(decisions: DataFrame, keep: int = RETENTION, request: str = "reques
 def recent(decisions: DataFrame, limit: int = SHOWN, request: str = "request_id", order: str = "id") -> DataFrame:
     """The newest requests, each with its decisions, newest first; ``limit`` is held between 1 and MOST."""
     k = max(1, min(limit, MOST))
-    rows = decisions.join(F.broadcast(newest(decisions, k, request, order)), request)  # k rows
+    rows = decisions.join(newest(decisions, k, request, order), request)
     rest = [c for c in decisions.columns if c not in (request, order)]
     grouped = rows.groupBy(request, "_last").agg(F.reverse(F.array_sort(F.collect_list(F.struct(order, *rest)))).alias("decisions"))
     return grouped.orderBy(F.desc("_last")).drop("_last")

@@ -49,9 +49,10 @@ def case_log(cases_: DataFrame, seed: DataFrame) -> DataFrame:
     """Each case's own history: the seed unless it is skipped, then the case's observations; the case id is the scope."""
     columns = [f.name for f in T.StructType.fromDDL(OBSERVATION).fields]
     seeded = cases_.where(~F.coalesce("skip_seed", F.lit(False))).select(F.col("id").alias("case"))
-    start = seed.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    from_seed = seeded.join(F.broadcast(seed.drop("scope")), F.lit(True)).withColumnRenamed("case", "scope")  # the seed is a fixed file
-    own = cases_.join(F.broadcast(start), F.lit(True)).select(F.col("id").alias("scope"), "last", F.posexplode("observations").alias("at", "o"))
+    start = seed.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+    told = seed.agg(F.collect_list(F.struct(*[c for c in columns if c != "scope"]))).scalar()  # the seed is a fixed file
+    from_seed = seeded.select(F.col("case").alias("scope"), F.explode(told).alias("o")).select("scope", "o.*")
+    own = cases_.select(F.col("id").alias("scope"), start.alias("last"), F.posexplode("observations").alias("at", "o"))
     own = own.select("scope", (F.col("last") + F.col("at") + 1).cast("long").alias("seq"), "o.*")
     return from_seed.select(columns).unionByName(own.select(columns))
 
