@@ -336,6 +336,16 @@ def observation_fold(spark, d):
     return rows.select("entry_id", "canonical", "kind", "status", "confidence", "protected", "confirmations", "contradictions")
 
 
+def folded_surfaces(spark, d):
+    """How the entries of the turns were written and heard, with the first origin."""
+    return memory.fold(observation_log(spark, d), metaphone=False).surfaces.select("entry_id", "surface", "origin", "count")
+
+
+def folded_keys(spark, d):
+    """The index of the entries of the turns: every surface's keys."""
+    return memory.fold(observation_log(spark, d), metaphone=False).keys.select("entry_id", "key", "algo")
+
+
 def memory_state(spark, d):
     """Every entry's tables in one row, as text."""
     rows = memory.state(memory.fold(observation_log(spark, d), metaphone=False))
@@ -354,6 +364,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_offsets, ngram_spans, protected_spans, context_top25, retrieve_candidates, candidates_per_span, score_candidates, top_two, decide_policy, resolve_text,
         resolve_metaphone, decision_trace, resolve_branches, strategy_metrics, prompt_block, exact_dict_replace, lifecycle_status, status_counts, surface_counts, trace_retention, recent_decisions,
         outcome_metrics, branch_coverage, uncovered_branches, latency_percentiles, table_stats, validate_observations, adversarial_rates, key_join,
-        observation_fold, memory_state,
+        observation_fold, folded_surfaces, folded_keys, memory_state,
     )
 }

@@ -181,6 +181,11 @@ q AS (SELECT *, CASE WHEN useful + wrong_target + false_intervention = 0 THEN 0.
 SELECT {by}, cases, useful, missed, wrong_target, correct_abstention, false_intervention, round_even(CAST(CAST((useful + correct_abstention)::DOUBLE / cases AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS pass_rate,
   round_even(CAST(CAST(p AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS precision, round_even(CAST(CAST(r AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS recall, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE round_even(CAST(CAST(2 * p * r / (p + r) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE END AS f1 FROM q"""
 
+_SURFACES = f"""{_FOLDED},
+written AS (SELECT entry, made AS seq, 0 AS step, canonical AS surface, 'canonical' AS origin FROM names UNION ALL SELECT entry, seq, 1, name, 'canonical' FROM named
+  UNION ALL SELECT n.entry, n.seq, 2, o.w1, 'observed' FROM named n JOIN obs o ON o.seq = n.seq WHERE n.k = 0),
+folded AS (SELECT made AS entry_id, surface, arg_min(origin, seq * 10 + step) AS origin, count(*) AS count FROM written JOIN names USING (entry) GROUP BY ALL)"""
+
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL: dict[str, str] = {
@@ -217,6 +222,10 @@ SELECT count(*) AS spans, round_even(CAST(CAST(sum(n)::DOUBLE / count(*) AS VARC
   round_even(CAST(CAST(count(*) FILTER (intervened)::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE AS rate FROM resolved JOIN conversations ON utt_id = conv_id * 1000 + turn GROUP BY role""",
     "exact_dict_replace": f"WITH {_TURNS}, {_TERMS}, {_EXACT} SELECT utt_id, replaced FROM xout",
     "observation_fold": f"""WITH {_FOLDED} SELECT entry_id, canonical, 'term' AS kind, status, confidence, protected, confirmations, contradictions FROM ev3 JOIN names USING (entry)""",
+    "folded_surfaces": f"WITH {_SURFACES} SELECT entry_id, surface, origin, count FROM folded",
+    "folded_keys": f"""WITH {_SURFACES}, {strict_ctes("(SELECT DISTINCT surface FROM folded)", "surface", "gk")},
+spelt AS (SELECT DISTINCT entry_id, unnest([strict, loose, fuzzy]) AS key, unnest(['indic', 'indic_loose', 'indic_fuzzy']) AS algo FROM folded JOIN gk USING (surface))
+SELECT entry_id, key, algo FROM spelt WHERE key <> ''""",
     "prompt_block": f"""WITH {_KEYED},
 heard AS (SELECT entry_id, string_agg(DISTINCT surface, ', ' ORDER BY surface) AS variants FROM surfaces JOIN entries USING (entry_id) WHERE lower(surface) <> lower(canonical) GROUP BY entry_id),
 lines AS (SELECT entry_id, canonical, '- ' || canonical || ' [' || kind || ']' || coalesce(' (heard as: ' || variants || ')', '') AS line FROM entries LEFT JOIN heard USING (entry_id) WHERE status = 'active'),
