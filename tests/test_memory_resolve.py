@@ -59,6 +59,13 @@ def test_rejected_observations_leave_nothing(spark):
     assert memory.fold(log(spark, *bad)).entries.count() == 0
 
 
+def test_a_log_without_a_status_is_checked(spark):
+    rows = log(spark, add("Zoho"), add(" "), {"kind": "force", "canonical": "Zoho", "status": "active"})
+    assert [r.problem for r in memory.checked(rows).orderBy("seq").collect()] == [None, "canonical is empty", None]
+    bare = memory.checked(rows.drop("status")).orderBy("seq").collect()
+    assert [r.problem for r in bare] == [None, "canonical is empty", "unknown status: none"]
+
+
 def test_surfaces_usage_and_context(spark):
     rows = [use("Mira before she exists"), correct("meera", "Mira", context="meet Mira at the office"), correct("meera", "mira"), use("Mira called the office"), add("Zoho")]
     m = memory.fold(log(spark, *rows))
