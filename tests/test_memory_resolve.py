@@ -137,6 +137,16 @@ def test_fold_prunes_context_after_every_observation(spark):
     assert shown == {n: sorted(h.items(), key=lambda x: (-x[1], x[0]))[:12] for n, h in want.items()}
 
 
+def test_an_observation_s_words_travel_in_one_row(spark):
+    told = log(spark, add("Zoho"), add("Joho"), use("zoho and joho met the zebra, the zebra"), correct("zo", "Zoho", context="joho owl owl"))
+    spoken = memory._spoken(told)
+    events = spark.createDataFrame([("s", 1, 3, "zoho"), ("s", 2, 3, "joho"), ("s", 1, 4, "zoho")], "scope string, entry_id long, seq long, sound string")
+    events = events.withColumn("sound", phonetics.strict(F.col("sound")))
+    got = {(r.entry_id, r.seq): {(t.term, t.weight) for t in r.terms} for r in memory.mined(events, spoken).collect()}
+    assert len(got) == 3 and got[1, 4] == {("owl", 2.0)}  # the two names sound the same
+    assert ("zebra", 2.0) in got[1, 3] and "zoho" not in {t for t, _ in got[1, 3]}
+
+
 def test_controls(spark):
     rows = [correct("a", "Alpha"), correct("b", "Beta"), {"kind": "pin", "canonical": "alpha"}, {"kind": "delete", "canonical": "Beta"}, correct("c", "Gamma"), {"kind": "force", "canonical": "Gamma", "status": "suppressed"}]
     e = entries(memory.fold(log(spark, *rows)))
