@@ -7,6 +7,7 @@ The folder is the one named in ``spark.checkpoint.dir``.  Only where that is uns
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -41,6 +42,21 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{root(spark)}/termloom-{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Writes within leave no shuffle files behind: Spark deletes them when the query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written rows.
 
@@ -48,7 +64,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     and values that depend on the partitioning keep what was written.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, tag)
-    df.write.option("compression", "snappy").parquet(path)  # zstd's buffers outside the heap outlive many small files
+    with cleaned(spark):
+        df.write.option("compression", "snappy").parquet(path)  # zstd's buffers outside the heap outlive many small files
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
