@@ -8,14 +8,15 @@ a spanning forest of its links, and connected components join them.  Copies shar
 and count once; tiles are split by their size, so a hot count is many tiles.
 
 Narrow radii (up to 5 bits) tile by the counts of several parts of the fingerprint, whose
-differences add up.  Wide radii, which a similarity of 0.8 needs, use one count and a second
-fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files that the comparing tasks
-open, so only names are shuffled.  For a similarity both fingerprints only choose candidates: each
+differences add up.  Wide radii, which a similarity of 0.8 needs, tile by the sizes of the shingle
+sets, as sets of a similarity s have sizes in a ratio of s or more: strangers in size are never
+compared.  They use a second fingerprint of ``EXTRA`` more words of 64 bits; their tiles are files
+that the comparing tasks open, so only names are shuffled.  For a similarity both fingerprints only choose candidates: each
 is confirmed by the Jaccard similarity of the two shingle sets, read from texts that were packed
 into files when the fingerprints were made.  Tiles are compared with themselves first and their
 trees written, so that a large group of near copies costs two tiles one confirmation and not one
-a member.  The comparisons of a wide radius grow with the square
-of the distinct fingerprints, at about two nanoseconds each.
+a member.  The comparisons of a wide radius grow with the square of the distinct fingerprints of
+like sizes, at about two nanoseconds each.
 
 Edge cases: a null text or one without words has fingerprint zero and is linked like any other;
 repeated rows are rows of their own; an empty table gives an empty result; other columns do not
@@ -122,7 +123,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
-    """(doc_id, row, fp, wide, node, place) of the sets of shingles; a node is a set, a place its packed text in ``home``."""
+    """(doc_id, row, fp, wide, node, place, size) of the sets of shingles; a node is a set, a place its packed text in ``home``."""
 
     def run(batches):
         name, at, out, codec = uuid.uuid4().hex, 0, None, pa.Codec("zstd")
@@ -131,7 +132,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
                 fs = open_file(home)
                 fs.create_dir(file_path(home))
                 out = fs.open_output_stream(file_path(f"{home}/{name}"), compression=None)
-            fps, wides, nodes, places = [], [], [], []
+            fps, wides, nodes, places, sizes = [], [], [], [], []
             for t in _texts(batch.column(2)):
                 h, packed = shingle_set(t, shingle), codec.compress(t, asbytes=True)
                 fp, wide = wide_fingerprint(h)
@@ -139,16 +140,17 @@ def wide_fingerprints(docs: DataFrame, shingle: int, home: str) -> DataFrame:
                 fps.append(fp)
                 wides.append(wide)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
                 places.append(struct.pack(PLACE, name.encode(), at, len(packed), len(t)))
                 at += len(packed)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-            columns = [batch.column(0), batch.column(1), signed[0], pa.array(wides, pa.binary()), signed[1], pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "wide", "node", "place"])
+            columns = [batch.column(0), batch.column(1), signed[0], pa.array(wides, pa.binary()), signed[1], pa.array(places, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "wide", "node", "place", "size"])
         if out is not None:
             out.close()
 
     rows = docs.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(owned(run), "doc_id long, row string, fp long, wide binary, node long, place binary")
+    return rows.mapInArrow(owned(run), "doc_id long, row string, fp long, wide binary, node long, place binary, size long")
 
 
 class Held:
@@ -242,20 +244,22 @@ class Forest:
                 label[:] = label[label]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False, exact=None, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def compare(a: np.ndarray, b: np.ndarray, radius: int, confirm=None, same: bool = False, exact=None, joined: np.ndarray | None = None, window=None) -> tuple[np.ndarray, np.ndarray]:
     """A forest (member, smaller member) of the pairs with at most ``radius`` differing bits.
 
     Members are numbered through a and then b, or through a alone if ``same``, which compares
     each pair of a once.  ``confirm(i, j)`` may reject pairs, and ``exact(i, j)``, which is dearer,
     those that it leaves; pairs already joined are not asked.  ``joined`` gives every member's
     smallest member as known before; the forest then holds only what is new, from such members.
+    ``window(first, end)`` gives the bounds in b outside of which a[first:end] has no links.
     """
     shift = 0 if same else len(a)
     before = np.arange(shift + len(b)) if joined is None else joined
     forest, rows = Forest(before.copy()), max(1, BLOCK // max(1, len(b)))
     for at in range(0, len(a), rows):
-        start = at if same else 0
-        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, start:]) <= radius)
+        start, end = window(at, min(at + rows, len(a))) if window else (0, len(b))
+        start = max(start, at) if same else start
+        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, start:end]) <= radius)
         i, j = i + at, j + start
         new = forest.label[i] != forest.label[j + shift]
         i, j = i[new], j[new]
@@ -310,7 +314,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("wide", "<u8", (EXTRA,)), ("place", f"V{struct.calcsize(PLACE)}")])
+RECORD = np.dtype([("fp", "<u8"), ("node", "<i8"), ("size", "<i8"), ("wide", "<u8", (EXTRA,)), ("place", f"V{struct.calcsize(PLACE)}")])
 
 
 def _tile(path: str) -> np.ndarray:
@@ -323,12 +327,28 @@ def _trees(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), "<i4").astype(np.int64)
 
 
-def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None) -> DataFrame:
-    """Links (a, b) of the column ``node`` of (fp, wide, node, place), confirmed by the further words and by what ``similar()`` makes for a task."""
+NAMES = ["path", "low", "high", "step", "reach", "fewest", "most"]
+
+
+def most(size, similarity: float):
+    """The most shingles that a set can have beside one of ``size``; one more is for rounding."""
+    return (size + 1) / similarity
+
+
+def _step(size: float, similarity: float) -> int:
+    """Sizes by steps of the ratio that a similarity allows."""
+    return int(math.log(max(size, 1)) / math.log(1 / min(similarity, 0.9)) + 1e-9)
+
+
+def wide_links(classes: DataFrame, radius: int, wide_radius: int, similarity: float, similar=None) -> DataFrame:
+    """Links (a, b) of the column ``node`` of (fp, wide, node, place, size), confirmed by the further words and by what ``similar()`` makes for a task.
+
+    Tiles hold neighbours in size; pairs of rows whose sizes allow no ``similarity`` are not compared.
+    """
     spark, home = classes.sparkSession, folder(classes.sparkSession, "tiles")
-    order = [F.bit_count("fp"), F.col("fp"), F.col("node")]
+    order = [F.col("size"), F.bit_count("fp"), F.col("fp"), F.col("node")]
     n = max(1, min(partitions(spark), -(-classes.count() // FILE)))
-    cut = classes.select("fp", "node", "wide", "place").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    cut = classes.select("fp", "node", "wide", "place", "size").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def write(batches):
         held, fs = [], open_file(home)
@@ -338,14 +358,16 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None)
             path = f"{home}/{uuid.uuid4().hex}.tile"
             with fs.open_output_stream(file_path(path), compression=None) as out:
                 out.write(rows.tobytes())
-            counts = np.bitwise_count(rows["fp"])
-            columns = [[path], [int(counts.min())], [int(counts.max())]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))], names=["path", "low", "high"])
+            low, high = int(rows["size"][0]), int(rows["size"][-1])
+            counts = np.bitwise_count(rows["fp"])  # tell tiles of one size apart
+            columns = [[path], [low], [high], [_step(low, similarity)], [_step(most(high, similarity), similarity)], [int(counts.min())], [int(counts.max())]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=NAMES)
 
         for batch in batches:
             rows = np.empty(batch.num_rows, RECORD)
             rows["fp"], rows["node"] = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             rows["wide"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, EXTRA)
+            rows["size"] = batch.column(4).to_numpy()
             rows["place"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), RECORD["place"])
             held.append(rows)
             while sum(map(len, held)) >= FILE:
@@ -355,17 +377,23 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None)
         if sum(map(len, held)):
             yield flush(np.concatenate(held))
 
-    tiles = materialise(cut.mapInArrow(write, "path string, low int, high int"), "tile-names")
+    tiles = materialise(cut.mapInArrow(write, "path string, " + ", ".join(f"{c} long" for c in NAMES[1:])), "tile-names")
     tiles = materialise(positions(tiles, [F.col("low"), F.col("high"), F.col("path")], tag="tile-order"), "tile-places")
-    counts = {r["low"]: r["n"] for r in tiles.groupBy("low").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
+    counts = {r["step"]: r["n"] for r in tiles.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per step of sizes: some hundreds at most
     last = sum(counts.values()) - 1
-    ends = [sum(n for low, n in counts.items() if low <= high + radius) - 1 for high in range(65)]  # the last tile in reach
-    reach = F.array(*[F.lit(x).cast("long") for x in ends])[F.col("high")]
+    furthest = max(counts, default=0)
+    ends = [sum(n for step, n in counts.items() if step <= k) - 1 for k in range(furthest + 1)]  # the last tile in reach
+    reach = F.array(*[F.lit(x).cast("long") for x in ends])[F.least(F.col("reach"), F.lit(furthest)).cast("int")]
 
     def forest(left, right, exactly, same=False, joined=None):
+        own, other = (np.ascontiguousarray(x["size"]) for x in (left, right))  # in order
+
+        def window(first, end):
+            return np.searchsorted(most(other, similarity), own[first]), np.searchsorted(other, most(own[end - 1], similarity), "right")
+
         near = lambda i, j: np.bitwise_count(left["wide"][i] ^ right["wide"][j]).sum(axis=1, dtype=np.int64) <= wide_radius
         exact = exactly and (lambda i, j: exactly(left["place"][i], right["place"][j]))
-        return compare(np.ascontiguousarray(left["fp"]), np.ascontiguousarray(right["fp"]), radius, near, same, exact, joined)
+        return compare(np.ascontiguousarray(left["fp"]), np.ascontiguousarray(right["fp"]), radius, near, same, exact, joined, window)
 
     def within(batches):
         exactly, fs = similar and similar(), open_file(home)
@@ -383,8 +411,10 @@ def wide_links(classes: DataFrame, radius: int, wide_radius: int, similar=None)
     own = tiles.select("pos", "path").repartition(max(1, min(4 * partitions(spark), last + 1)))
     known = materialise(own.mapInArrow(owned(within), "path string, trees string"), "tile-trees")
     tiles = tiles.join(known, "path")
-    pairs = tiles.select(F.col("path").alias("left"), F.col("trees").alias("left_trees"), F.explode(F.sequence("pos", reach)).alias("pos"))
-    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right"), F.col("trees").alias("right_trees")), "pos")
+    bounds = ["low", "high", "fewest", "most"]
+    pairs = tiles.select(F.col("path").alias("left"), F.col("trees").alias("left_trees"), *[F.col(c).alias(f"left_{c}") for c in bounds], F.explode(F.sequence("pos", reach)).alias("pos"))
+    pairs = pairs.join(tiles.select("pos", F.col("path").alias("right"), F.col("trees").alias("right_trees"), *bounds), "pos")
+    pairs = pairs.where(most(F.col("left_high"), similarity) >= F.col("low")).where(F.greatest(F.col("fewest") - F.col("left_most"), F.col("left_fewest") - F.col("most")) <= radius)
     spread = pairs.select("left", "left_trees", "right", "right_trees").repartition(max(1, min(4 * partitions(spark), (last + 1) * (last + 2) // 2)))
 
     def run(batches):
@@ -428,9 +458,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     if radius is None:
         home = folder(docs.sparkSession, "texts")
         prints = materialise(wide_fingerprints(docs, shingle, home), "fingerprints")
-        firsts = [F.min(c).alias(c) for c in ("fp", "wide", "place")]
+        firsts = [F.min(c).alias(c) for c in ("fp", "wide", "place", "size")]
         classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *firsts), "classes")
-        found = wide_links(classes, *radii(similarity), partial(Similar, home, shingle, similarity))
+        found = wide_links(classes, *radii(similarity), similarity, partial(Similar, home, shingle, similarity))
     else:
         prints = materialise(fingerprints(docs, shingle), "fingerprints").withColumn("node", F.col("fp"))
         classes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "classes")

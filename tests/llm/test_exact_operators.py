@@ -271,6 +271,28 @@ def test_simhash_groups_over_many_tiles(spark, monkeypatch, rows_of_a_tile):
     assert len(set(got.values())) < len(got) / 4
 
 
+def test_strangers_in_size_are_not_compared():
+    """Rows in order of size meet only those that a similarity of 0.8 allows, and lose no link that it allows."""
+    rng = np.random.default_rng(4)
+    size = np.sort(np.exp(rng.uniform(0, 8, 3000)).astype(np.int64))
+    at, to = size[:, None], size[None, :]
+    may = np.minimum(at, to) >= 0.8 * np.maximum(at, to)
+    for first, end in ((0, 40), (900, 964), (2990, 3000)):
+        asked = np.zeros(may.shape, bool)
+
+        def confirm(i, j, first=first):
+            asked[i + first, j] = True
+            return np.zeros(len(i), bool)
+
+        def window(a, b, first=first):
+            return np.searchsorted(simhash.most(size, 0.8), size[first + a]), np.searchsorted(size, simhash.most(size[first + b - 1], 0.8), "right")
+
+        assert not len(simhash.compare(np.zeros(end - first, np.uint64), np.zeros(len(size), np.uint64), 0, confirm, joined=np.arange(end - first + len(size)), window=window)[0])
+        assert asked[first:end][may[first:end]].all() and asked.sum() < 0.3 * (end - first) * len(size)
+    for a, b in zip(*(x[may & (at <= to)] for x in np.broadcast_arrays(at, to))):
+        assert simhash._step(b, 0.8) <= simhash._step(simhash.most(a, 0.8), 0.8)
+
+
 # ------------------------------------------------------------------ 3 interleaved media
 
 
