@@ -1,6 +1,10 @@
 """Phonetic keys and text functions against pinned values."""
 
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +95,15 @@ def test_content_words(spark):
 def test_spans_longest_first(spark):
     got = column(spark, ["one two. three"], text.spans(text.tokens(F.col("w"))).alias("s"))
     assert [s.stem for s in got[0][0]] == ["one two three", "one two", "two three", "one", "two", "three"]
+
+
+def test_jaro_winkler_of_many_pairs_is_that_of_each():
+    rng = random.Random(7)
+    made = ["", "a", "ab", "martha", "marhta", "é", "a\xff", "x" * 64, "x" * 65, "ab" * 40, "\x00", "\x01a"]
+    made += ["".join(rng.choice("abcd" if k % 2 else "abcdefghijklmnop") for _ in range(rng.randrange(70 if k % 5 == 0 else 22))) for k in range(150)]
+    values = pa.array([None, *made, *[m[:-1] + "q" for m in made]])[1:]  # with an offset
+    i, j = (x.ravel() for x in np.indices((len(values), len(values))))
+    got, texts = phonetics.jaro_winkler_pairs(values, values[::1], i, j), values.to_pylist()
+    assert got.tolist() == [phonetics.jaro_winkler_text(texts[x], texts[y]) for x, y in zip(i, j)]
+    nulls = pa.array([None, "ab"])
+    assert phonetics.jaro_winkler_pairs(nulls, nulls, np.array([0, 0, 1]), np.array([0, 1, 1])).tolist() == [0.0, 0.0, 1.0]
